@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import language_id
+from quillspan.llm import language_id, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,4 +20,50 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES["op10_language_id"] = op10_language_id
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+#: Every quotient of every seat is listed and ranked here.
+ORACLES["op4_source_mixing"] = f"""
+with d as (
+  select row_number() over () as r, doc_id, source,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::bigint as size,
+         md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), 'null')) as h
+  from documents),
+s0 as (select source, sum(size)::bigint as source_size from d group by source),
+s1 as (select *, ((row_number() over (order by source is null, source) - 1) % 3 + 1)::double as weight, ({mixing.MOST_REPEATS} * source_size)::double as cap from s0),
+s2 as (select *, (sum(source_size) over ())::double as total, sum(weight) over () as weights,
+              coalesce(sum(cap) over w, 0) as caps_before, coalesce(sum(weight) over w, 0) as weights_before,
+              row_number() over (order by cap / weight, source is null, source) as nth
+       from s1 window w as (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding)),
+s3 as (select *, (total - caps_before) / (weights - weights_before) as level from s2),
+s as (select source, source_size, least(cap, coalesce((select arg_min(level, nth) from s3 where level * weight <= cap) * weight, cap)) as target,
+             greatest(1, ceil(source_size / {mixing.SHARD_WORDS}.0))::bigint as shards from s3),
+placed as (select d.*, s.source_size, s.target, (('0x' || substr(h, 1, 8))::bigint % s.shards) as shard from d join s on d.source is not distinct from s.source),
+laid as (select *, (sum(size) over (partition by source, shard order by substr(h, 9, 24), doc_id, size, r rows unbounded preceding))::bigint - size as start from placed),
+sh as (select source, shard, sum(size)::bigint as words from placed group by all),
+house as (select round(sum(target) / {mixing.BLOCK_WORDS})::bigint as n from s),
+q1 as (select s.source, row_number() over (order by target / (2 * k + 1) desc, s.source is null, s.source) as place from s, house, lateral (select unnest(range(n)) as k) where target > 0),
+seats as (select source, count(*) as n from q1 where place <= (select n from house) group by source),
+q2 as (select sh.source, shard, seats.n, row_number() over (partition by sh.source order by words::double / (2 * k + 1) desc, shard) as place
+       from sh join seats on sh.source is not distinct from seats.source, lateral (select unnest(range(seats.n)) as k) where words > 0),
+quota0 as (select source, shard, count(*) as n from q2 where place <= n group by all),
+quota as (select sh.source, sh.shard, words, case when words > 0 then least(coalesce(n, 0) * {mixing.BLOCK_WORDS}, {mixing.MOST_REPEATS} * words) else 0 end as wanted,
+                 ('0x' || substr(md5('{mixing.SEED}:start:' || coalesce(sh.source, 'null') || ':' || sh.shard), 1, 8))::bigint % greatest(1, words // {mixing.BLOCK_WORDS}) * {mixing.BLOCK_WORDS} as b
+          from sh left join quota0 on sh.source is not distinct from quota0.source and sh.shard = quota0.shard),
+run as (select *, case when words > 0 then wanted // words else 0 end as rounds, wanted - case when words > 0 then wanted // words else 0 end * words as len from quota)
+select doc_id, size, source_size, target,
+       (rounds * size + greatest(0, least(start + size, least(b + len, words)) - greatest(start, b)) + greatest(0, least(start + size, b + len - words) - start))::bigint as taken
+from laid join run on laid.source is not distinct from run.source and laid.shard = run.shard
+"""
+
+QUERIES |= {
+    "op4_source_mixing": op4_source_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op10_language_id": op10_language_id,
+}

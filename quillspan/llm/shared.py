@@ -46,6 +46,15 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the left's keys stay.  No two other columns may share a name."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def words_of(text: str) -> list[str]:
     """The runs of `[^\\x20\\x09-\\x0D]+` in a text."""
     if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -103,6 +112,10 @@ class WordTable:
             self.place.update(zip(new, range(start, start + len(new)), strict=True))
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
+    def look(self, words: list[str]) -> np.ndarray:
+        at = self.indices(words)
+        return self.rows[at] if self.rows is not None else self.make([])
+
 
 def chunks_of(texts: Iterable[str | None], most_words: int = 500_000, split: Callable[[str], list[str]] = words_of):
     """Yield (number of texts, words of all, words per text) for runs of whole texts of about most_words words."""
