@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import language_id, mixing, toxicity
+from quillspan.llm import language_id, mixing, packing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintained(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,7 +71,9 @@ from laid join run on laid.source is not distinct from run.source and laid.shard
 """
 
 QUERIES |= {
+    "op1_token_counts": op1_token_counts,
     "op4_source_mixing": op4_source_mixing,
+    "op5_packing": op5_packing,
     "op8_toxicity": op8_toxicity,
     "op10_language_id": op10_language_id,
 }
