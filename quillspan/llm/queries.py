@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import language_id, mixing, packing, token_counts, toxicity
+from quillspan.llm import fingerprints, language_id, mixing, packing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,10 +70,49 @@ select doc_id, size, source_size, target,
 from laid join run on laid.source is not distinct from run.source and laid.shard = run.shard
 """
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def _words_sql(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def _sketches_sql(words: str, source: str) -> str:
+    """Rows (nth, s): the sketch of each row's words, by shingle."""
+    last = fingerprints.SHINGLE - 1
+    return f"""
+  select nth, list_sort(list(distinct h))[1 : {fingerprints.K}] as s from (
+    select nth, substr(md5(array_to_string({words}[i : i + {last}], ' ')), 1, {fingerprints.HEX}) as h
+    from (select nth, {words}, unnest(range(1, case when len({words}) = 0 then 1 else greatest(1, len({words}) - {last}) + 1 end)) as i from {source}))
+  group by nth"""
+
+
+def _near_sql(a: str, b: str) -> str:
+    union = f"list_sort(list_distinct(list_concat({a}, {b})))[1 : {fingerprints.K}]"
+    return f"case when len({union}) = 0 then 1.0::double else len(list_filter(list_intersect({a}, {b}), lambda v: v <= list_max({union})))::double / len({union}) end"
+
+
+ORACLES["op9_fingerprints"] = f"""
+with d as materialized (select row_number() over (order by doc_id desc nulls last, text) as nth, count(*) over () as n, doc_id, coalesce(text, '') as text, {_words_sql("coalesce(text, '')")} as words from documents),
+t as materialized ({_sketches_sql("words", "d")}),
+e as materialized (select a.nth, a.doc_id, b.nth as nth_next, length(a.text) as n_chars, edited, {_words_sql("edited")} as words
+      from d a join d b on b.nth = a.nth % a.n + 1, lateral (select substr(a.text, 1, length(a.text) - length(a.text) // 2) || substr(b.text, 1, length(a.text) // 2) as edited)),
+u as materialized ({_sketches_sql("words", "e")}),
+f as materialized (select e.*, coalesce(t.s, []) as s, coalesce(v.s, []) as s_next, coalesce(u.s, []) as s_edited
+      from e left join t on t.nth = e.nth left join t v on v.nth = e.nth_next left join u on u.nth = e.nth)
+select doc_id, n_chars::bigint as n_chars, sha256(edited) as edited_sha256, array_to_string(s, '') as fingerprint, array_to_string(s_edited, '') as edited_fingerprint,
+       {_near_sql("s", "s_edited")} as near_edited, {_near_sql("s", "s_next")} as near_next,
+       case when len(s) < {fingerprints.K} then len(s)::double else {fingerprints.K - 1} * 281474976710656.0 / (('0x' || substr(s[-1], 1, 12))::bigint::double + 1.0) end as distinct_shingles
+from f
+"""
+
+
 QUERIES |= {
     "op1_token_counts": op1_token_counts,
     "op4_source_mixing": op4_source_mixing,
     "op5_packing": op5_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
 }
