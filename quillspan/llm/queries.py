@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import fingerprints, language_id, mixing, packing, token_counts, toxicity, url_filter
+from quillspan.llm import fingerprints, language_id, minhash, mixing, packing, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,10 @@ select doc_id, size, source_size, target,
 from laid join run on laid.source is not distinct from run.source and laid.shard = run.shard
 """
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -116,6 +120,7 @@ QUERIES |= {
     "op1_token_counts": op1_token_counts,
     "op4_source_mixing": op4_source_mixing,
     "op5_packing": op5_packing,
+    "op6_minhash_neardup": op6_minhash_neardup,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
