@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import fingerprints, language_id, lattice, minhash, mixing, packing, token_counts, toxicity, url_filter
+from quillspan.llm import fingerprints, language_id, lattice, lm_scores, minhash, mixing, packing, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.maintained(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -136,6 +140,7 @@ from f
 
 QUERIES |= {
     "op1_token_counts": op1_token_counts,
+    "op2_lm_scores": op2_lm_scores,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_source_mixing": op4_source_mixing,
     "op5_packing": op5_packing,
