@@ -111,3 +111,30 @@ def mix_sizes(sizes: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int
     taken = F.col("_rounds") * F.col("size") + common(F.col("_begin"), F.least(end, F.col("_words"))) + common(F.lit(0), end - F.col("_words"))
     out = same_keys(placed, quota, ["source", "_shard"], "left")
     return out.select(*carried, "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+
+
+def taken_texts(text: Column, size: Column, taken: Column) -> Column:
+    """The texts that a document gives to the mix: whole copies, then its first words for the rest."""
+    begins = F.regexp_replace(text, "^[\\x20\\x09-\\x0D]+", "")
+    pieces = F.split(begins, "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
+    rest = (taken % size).cast("int")
+    head = F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), rest), ""), "[\\x20\\x09-\\x0D]+$", "")
+    whole = F.array_repeat(text, F.floor(taken / size).cast("int"))
+    return F.when(size > 0, F.when(rest > 0, F.concat(whole, F.array(head))).otherwise(whole)).otherwise(F.array().cast("array<string>"))
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, most_repeats: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
+    """docs as the mix takes them, in the same columns: a row for each copy, and one with the first words where a document is taken in part; n_chars follows the text.
+
+    The sizes alone are mixed; the texts move once, to their rows' decisions.  Equal rows share theirs out.
+    """
+    names = docs.columns
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("doc_id", "text")})
+    sizes = cut(keyed.select("doc_id", "source", F.col("_id").alias("row_id"), F.col("_hash").alias("row_hash"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    found = mix_sizes(sizes, block_words, shard_words, most_repeats, seed).filter("taken > 0")
+    found = found.select(F.col("row_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
+    rows = keyed.withColumn("_nth", nth).join(found.withColumn("_nth", nth), ["_id", "_hash", "_nth"])
+    rows = rows.withColumn("_text", F.explode(taken_texts(F.col("text"), F.col("_size"), F.col("_taken"))))
+    changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return rows.select(*[changed[c].alias(c) if c in changed else rows[c] for c in names])
