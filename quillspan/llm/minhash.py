@@ -13,8 +13,10 @@ Exact copies are collapsed first.  Signatures are cut into bands; documents that
 share a band are candidates, and a link is a candidate pair whose multisets of
 shingles, counted from the texts, have a similarity of at least `threshold`.
 A bucket's pairs are not all written out: its documents are first tried against one
-hub; later only documents still in different components are paired.  Pairs
-inside a component can't change it, so the components are those of all candidates.
+hub; later only documents still in different components are paired, and of those only
+pairs that can still be similar, given how many shingles of each occur in no other
+document left.  Pairs inside a component can't change it, so the components are
+those of all candidates.
 
 Defined results: null text links with nothing; texts without words are copies of
 each other only if equal; repeated rows are copies; the row with the least doc_id
@@ -189,6 +191,31 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def _bags(texts: DataFrame) -> DataFrame:
+    """node, shingle, c: the shingle multisets of texts (node, text)."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(word_hashes)
+        for batch in batches:
+            nodes, at = batch["node"].to_numpy(), 0
+            for n, words, counts in chunks_of(batch["text"].to_pylist(), 200_000):
+                text, h, c = multisets(*shingles(table.look(words) if words else np.zeros(0, np.uint64), counts))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + n][text]), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], ["node", "shingle", "c"])
+                at += n
+
+    return texts.select("node", "text").mapInArrow(bags, "node long, shingle long, c long")
+
+
+def _shared_weights(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """node, whole, shared: a node's number of shingles, and how many of them another node of these texts has too.
+
+    No pair among these nodes can have more than the lesser `shared` in common.
+    """
+    own = _bags(texts).groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.first("node").alias("node"), F.first("c").alias("c")).filter("_n = 1")
+    alone = own.groupBy("node").agg(F.sum("c").alias("_alone"))
+    return sizes.join(alone, "node", "left").select("node", F.col("n_shingles").alias("whole"), (F.col("n_shingles") - F.coalesce("_alone", F.lit(0))).alias("shared"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs (doc_id, text): row_id, doc_id, digest, class_id (least doc_id of its near-duplicates), kept."""
     d = docs.select("doc_id", "text")
@@ -243,8 +270,16 @@ def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: floa
     placed = buckets.select("node", "key").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     mixed_keys = placed.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b").select("key")
     placed = cut(placed.join(mixed_keys, "key"), "mixed-buckets")
-    pairs = placed.select("key", F.col("node").alias("a"), F.col("part").alias("part_a")).join(placed.select("key", F.col("node").alias("b"), F.col("part").alias("part_b")), "key")
-    pairs = pairs.filter("a < b and part_a <> part_b").select("a", "b").distinct()
+    # with s in common, a pair of sizes v and w reaches the threshold t only if s >= t / (1 + t) * (v + w)
+    left = placed.select("node").distinct()
+    weights = cut(_shared_weights(texts.join(left, "node"), sides.select("node", "n_shingles").join(left, "node")), "shared-weights")
+    need = threshold / (1.0 + threshold) - 1e-9
+    placed = placed.join(weights, "node")
+    least = placed.groupBy("key").agg(F.min("whole").alias("_least"))
+    placed = placed.join(least, "key").filter(F.col("shared") >= need * (F.col("whole") + F.col("_least"))).drop("_least")
+    sided = lambda to: placed.select("key", *[F.col(c).alias(to if c == "node" else f"{c}_{to}") for c in ("node", "part", "whole", "shared")])
+    enough = F.least("shared_a", "shared_b") >= need * (F.col("whole_a") + F.col("whole_b"))
+    pairs = sided("a").join(sided("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & enough).select("a", "b").distinct()
     tried = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     return links.union(verified(likely(pairs.join(tried, ["a", "b"], "left_anti"))))
 
