@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import evaluation, knowledge, retrieval, timeline
+from quillspan.plans import curation, evaluation, knowledge, retrieval, timeline
 
-_PLANS = [retrieval, evaluation, timeline, knowledge]
+_PLANS = [retrieval, evaluation, timeline, knowledge, curation]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
 FLAGSHIP = "bm25_topk"

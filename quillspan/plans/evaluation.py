@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.fixed import ANSWER_STOPWORDS
 from quillspan.operators import lexical, metrics
 from quillspan.plans import mapping as m
 from quillspan.plans.retrieval import _RANK, _bm25_sql
@@ -210,8 +211,6 @@ def _stem_sql(w: str) -> str:
 
 
 def _stems_sql(text: str) -> str:
-    from quillspan.functions.fixed import ANSWER_STOPWORDS
-
     stop = ", ".join(f"'{w}'" for w in ANSWER_STOPWORDS)
     return f"list_distinct(list_transform(list_filter({_WT.format(text)}, lambda t: length(t) >= 2 and not list_contains([{stop}], t)), lambda t: {_stem_sql('t')}))"
 
@@ -230,6 +229,11 @@ c as (select conv_id, turn, sum(least(a.n, b.n)) as c from a join b using (conv_
 select conv_id, turn, round(case when coalesce(c, 0) = 0 then 0.0::double else 2.0::double * c / (len(a) + len(b)) end, 6) as f1 from p left join c using (conv_id, turn)""",
     "lexical_jaccard": f"""with p as materialized (select conv_id, turn, {_stems_sql("coalesce(text, '')")} as a, {_stems_sql('answer')} as b from {_ANSWERS} where answer is not null)
 select conv_id, turn, round(case when len(a) = 0 and len(b) = 0 then 1.0::double when len(a) = 0 or len(b) = 0 then 0.0::double else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end, 6) as jaccard from p""",
+    "keyword_recall": f"""with p as (select conv_id, turn, string_split(text, ' ') as w, lower(answer) as a, {_WT.format('answer')} as own from {_ANSWERS} where answer is not null),
+q as (select conv_id, turn, a, own, unnest([coalesce(w[1], ''), coalesce(w[3], ''), coalesce(w[5], ''), concat_ws(' ', coalesce(w[2], ''), coalesce(w[4 - 1], ''))]) as kw from p),
+r as (select *, lower(kw) as low, list_filter({_WT.format('kw')}, lambda t: not list_contains([{', '.join(repr(w) for w in ANSWER_STOPWORDS)}], t)) as parts from q),
+h as (select *, kw <> '' and a <> '' and (contains(a, low) or (len(parts) > 0 and len(list_filter(parts, lambda t: list_contains(own, t) or contains(a, {_stem_sql('t')}))) = len(parts)) or (low like '%s' and contains(a, left(low, length(low) - 1))) or contains(a, low || 's')) as hit from r)
+select conv_id, turn, round(count(*) filter (hit) / 4.0::double, 6) as recall from h group by 1, 2""",
     "citation_metrics": f"""with {_SAMPLES}, c as (select query_id, count(*) filter (rank % 2 = 1) as cited, count(*) filter (rank % 2 = 1 and rank <= 8) as backed from top group by 1),
 g as (select query_id, count(*) filter (rank % 2 = 1) as hit from hits group by 1)
 select query_id, round(case when n_gold = 0 then 1.0::double when coalesce(cited, 0) = 0 then 0.0 else coalesce(hit, 0) / n_gold::double end, 6) as coverage,
