@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 BLANKS = "[\\x20\\x09-\\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
-LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 
 
 _ONLY_ASCII_BLANKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
