@@ -70,7 +70,7 @@ def merged(sketches: DataFrame, group: str, column: str, k: int = K) -> DataFram
     return least.groupBy(group).agg(F.sort_array(F.collect_list("_h")).alias(column))
 
 
-def with_next(docs: DataFrame, most_cells: int = 4096, bucket_rows: int = 4096, most_buckets: int = 65536) -> DataFrame:
+def with_next(docs: DataFrame, most_cells: int = 4096, bucket_rows: int = 1024, most_buckets: int = 65536) -> DataFrame:
     """docs (doc_id, text) in buckets by descending id, each with a guest row: the first row of the bucket after it.
 
     Ids are cut into cells of equal width, and a cell into as many equal parts as its
@@ -117,7 +117,8 @@ def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
     edited_fingerprint, near_edited, near_next, distinct_shingles.
     """
     order = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_key"), "text")
-    d = with_next(docs).withColumn("_sketch", sketch(F.col("text"), k))
+    # the texts move, and sketches are made where they arrive
+    d = with_next(docs).repartition("_bucket").withColumn("_sketch", sketch(F.col("text"), k))
     d = d.withColumn("_next", F.lead("text").over(order)).withColumn("_next_sketch", F.lead("_sketch").over(order)).filter("_guest = 0")
     d = d.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")

@@ -68,8 +68,8 @@ def small_model():
     rng = np.random.default_rng(1)
     keys = {lm_scores.context_key([a]) for w in hot for a in voc.spell(w)}
     contexts = {k: i + 2 for i, k in enumerate(sorted(keys))}
-    corpus = rng.normal(size=(len(contexts) + 2, lm_scores.CLASSES, member)).astype(np.float32)
-    m = lm_scores.Model(voc, contexts, corpus, np.log(np.exp(corpus).sum(axis=2)), member)
+    corpus = rng.normal(size=(lm_scores.CLASSES, len(contexts) + 2, member)).astype(np.float32)
+    m = lm_scores.Model(voc, contexts, corpus, np.log(np.exp(corpus).sum(axis=2)).T.copy(), member)
     m.train(texts, steps=5, batch=8)
     return m, texts
 
@@ -89,7 +89,7 @@ def test_windows_score_each_id_once():
             start = 0 if i < lm_scores.WINDOW else (i - lm_scores.OVERLAP) // stride * stride
             h = m.attend(ids[None, start : i + 1])[0][0, -1]
             outer = m.classes[ctx[i]] + m.weights["uc"] @ h
-            inner = m.corpus[ctx[i]] + m.weights["u"] @ h
+            inner = m.corpus[:, ctx[i]] + m.weights["u"] @ h
             p = np.exp(outer) / np.exp(outer).sum()
             p = p[:, None] * np.exp(inner) / np.exp(inner).sum(axis=1, keepdims=True)
             assert p.sum() == pytest.approx(1, abs=1e-4)
