@@ -236,7 +236,8 @@ def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: floa
     """Verified links a, b between nodes, enough to give the components of all candidate pairs."""
     own = signed.join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
     keys = own.select(F.col("row_id").alias("node"), F.explode("keys").alias("key"))
-    hub = F.min(F.struct(F.xxhash64("node"), F.col("node").alias("id")))["id"].alias("hub")
+    # another hub in each bucket, so that no few odd documents stand for all
+    hub = F.min(F.struct(F.xxhash64("node", "key"), F.col("node").alias("id")))["id"].alias("hub")
     full = keys.groupBy("key").agg(hub, F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     buckets = cut(keys.join(full, "key"), "buckets")
     some = cut(buckets.select("node").distinct(), "candidates")

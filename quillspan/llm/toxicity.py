@@ -63,7 +63,7 @@ class OrdinalModel:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
     @classmethod
-    def train(cls, texts: list[str], toxic: list[int], grades: int = 3, steps: int = 400, rate: float = 0.3, least_ratio: float = 8.0) -> OrdinalModel:
+    def train(cls, texts: list[str], toxic: list[int], grades: int = 3, steps: int = 1500, rate: float = 0.3, least_ratio: float = 8.0) -> OrdinalModel:
         """Choose markers by document frequency, then maximise the ordinal likelihood (projected so that markers never lower a grade)."""
         toxic = np.array([int(bool(t)) for t in toxic])
         n_toxic, n_clean = int(toxic.sum()), int((toxic == 0).sum())
