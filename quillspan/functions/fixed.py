@@ -127,3 +127,9 @@ GENERIC_NAMES = (
     "thing things example examples important process processes system systems this that it they video videos series topic "
     "information component setup action actions function functions approach overview intro conclusion"
 ).split()
+
+# How an answer says that it can't answer.
+REFUSALS = ["insufficient evidence", "not enough evidence", "cannot answer", "does not provide enough information", "no evidence", "unable to answer"]
+
+# Other names of entity types.
+ENTITY_TYPE_ALIASES = {"variable": "Concept", "textelement": "Concept"}

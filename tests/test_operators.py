@@ -182,3 +182,32 @@ def test_streams_equal_tables(spark, tmp_path):
     q = tumbling(stream, "ts", "10 seconds", ["kind"], late="1 minute").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, tumbling(e, "ts", "10 seconds", ["kind"]).collect()))
+
+
+def test_names_and_types(spark):
+    from quillspan.operators import extraction as E
+
+    for raw, want in [("formula ", "Formula"), ("Variable", "Concept"), ("thing", "Concept")]:
+        assert one(spark, E.entity_type(F.lit(raw))) == want
+    assert one(spark, E.relation_type(F.lit(" used_by"))) == "USED_BY" and one(spark, E.relation_type(F.lit("modifies"))) is None
+    assert one(spark, E.query_entities(F.lit("What is Virtual Memory and BFS"))) == ["BFS", "Virtual Memory", "bfs", "memory", "virtual"]
+    assert E.name_score(["processes"], "Process") == 1.0
+    assert E.name_score(["process"], "Process Abstraction") == pytest.approx(0.85)
+    assert E.name_score(["dijsktra"], "Dijkstra") > 0.82 and E.name_score(["paging"], "Entropy") == 0.0
+    assert one(spark, E.refused(F.lit("I CANNOT ANSWER that"))) and not one(spark, E.refused(F.lit("yes")))
+
+
+def test_keyframes(spark):
+    from quillspan.operators import extraction as E
+
+    black, white = [0.0] * 16, [255.0] * 8 + [0.0] * 8
+    rows = [("l", float(t), white if t >= 10 else black) for t in range(0, 60)]
+    got = [r["ts"] for r in E.keyframes(spark.createDataFrame(rows, "lecture_id string, ts double, pixels array<double>")).orderBy("ts").collect()]
+    assert got == [0.0, 10.0, 40.0]
+
+
+def test_pruning_keeps_two(spark):
+    from quillspan.operators import extraction as E
+
+    items = spark.createDataFrame([(1, 0, 1, 50), (1, 1, 3, 50), (1, 2, 2, 50)], "window_id long, pos int, tier int, cost int")
+    assert [(r["pos"], r["alias"]) for r in E.pruned(items, 10).orderBy("pos").collect()] == [(1, "E1"), (2, "E2")]
