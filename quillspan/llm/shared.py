@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -16,7 +17,9 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
-_ONLY_ASCII_BLANKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+#: str.split() splits at these too; here they are parts of words.
+_OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -56,9 +59,7 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 def words_of(text: str) -> list[str]:
     """The runs of `[^\\x20\\x09-\\x0D]+` in a text."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w for w in text.translate(_ONLY_ASCII_BLANKS).split(" ") if w]
+    return text.split() if not _OTHER_BLANKS.search(text) else _WORD.findall(text)
 
 
 def word_array(text: Column) -> Column:
