@@ -66,10 +66,9 @@ def small_model():
     voc = lm_scores.Vocabulary.choose(hot, 300)
     member = -(-len(voc.opens) // lm_scores.CLASSES)
     rng = np.random.default_rng(1)
-    keys = {lm_scores.context_key([a]) for w in hot for a in voc.spell(w)}
-    contexts = {k: i + 2 for i, k in enumerate(sorted(keys))}
-    corpus = rng.normal(size=(lm_scores.CLASSES, len(contexts) + 2, member)).astype(np.float32)
-    m = lm_scores.Model(voc, contexts, corpus, np.log(np.exp(corpus).sum(axis=2)).T.copy(), member)
+    keys = np.unique(lm_scores.contexts_of(*voc.spell(sorted(hot)))[0])
+    corpus = rng.normal(size=(lm_scores.CLASSES, len(keys) + 2, member)).astype(np.float32)
+    m = lm_scores.Model(voc, keys, corpus, np.log(np.exp(corpus).sum(axis=2)).T.copy(), member)
     m.train(texts, steps=5, batch=8)
     return m, texts
 
@@ -79,7 +78,7 @@ def test_windows_score_each_id_once():
     m, texts = small_model()
     long = " ".join(texts * 4)
     for text in ["", "cat", "the cat sat", long]:
-        codes = np.frombuffer(b"".join(map(m.coded, text.split())), np.uint16).reshape(-1, 2)
+        codes = m.coded(text.split())[0]
         got = m.scores(codes, np.array([len(codes)]))[0]
         ids, ctx = np.concatenate([[0], codes[:, 0]]).astype(np.int64), np.concatenate([[0], codes[:, 1]]).astype(np.int64)
         target = np.append(ids[1:], 0)
@@ -97,10 +96,24 @@ def test_windows_score_each_id_once():
         assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
+def test_words_are_spelt_alike_alone_and_together():
+    m, _ = small_model()
+    words = ["the", "c\u00e4t!", "\u00a0x", "it's", "x\u2003y", "\u65e5\u672c\u8a9e", "a" * 300, "\x1c"]
+    for own in (words, [w for w in words if "\u00a0" not in w and "\u2003" not in w and w != "\x1c"]):
+        numbers, sizes = m.vocabulary.spell(own)
+        alone = [m.vocabulary.spell([w]) for w in own]
+        assert numbers.tolist() == [n for a, _ in alone for n in a] and sizes.tolist() == [int(s[0]) for _, s in alone]
+    memo = lm_scores.Memo(m, {"the": -1.0}, limit=3)
+    for own in (words, words[:2], ["new", "the"], words):
+        place = memo.places(own)
+        assert memo.codes(place).tolist() == m.coded(own)[0].tolist()
+        assert [c == -1.0 for c in memo.chances[place]] == [w == "the" for w in own]
+
+
 def test_training_gradients():
     """Loss falls on what it learns from."""
     m, texts = small_model()
-    score = lambda: sum(m.scores(c := np.frombuffer(b"".join(map(m.coded, t.split())), np.uint16).reshape(-1, 2), np.array([len(c)]))[0] for t in texts)
+    score = lambda: sum(m.scores(c := m.coded(t.split())[0], np.array([len(c)]))[0] for t in texts)
     before = score()
     m.train(texts, steps=60, batch=16)
     assert score() > before
