@@ -117,7 +117,7 @@ def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
     edited_fingerprint, near_edited, near_next, distinct_shingles.
     """
     order = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_key"), "text")
-    # the texts move, and sketches are made where they arrive
+    # the texts move alone: a sketch made before would nearly double what is shuffled
     d = with_next(docs).repartition("_bucket").withColumn("_sketch", sketch(F.col("text"), k))
     d = d.withColumn("_next", F.lead("text").over(order)).withColumn("_next_sketch", F.lead("_sketch").over(order)).filter("_guest = 0")
     d = d.withColumn("n_chars", F.length("text").cast("long"))
