@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -15,8 +17,6 @@ from pyspark.sql import functions as F
 BLANKS = "[\\x20\\x09-\\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
-
-
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 #: str.split() splits at these too; here they are parts of words.
 _OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -30,6 +30,7 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = tempfile.mkdtemp(prefix="quillspan-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/quillspan/{spark.sparkContext.applicationId}"
 
