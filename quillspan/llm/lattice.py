@@ -169,7 +169,8 @@ def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _linked(raw: list[bytes], left: np.ndarray, right: np.ndarray, both: bool, threshold: float, tables: int, probes: int, scale: float, cell_of) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows of a block pair whose cosine reaches the threshold and whose first meeting is this cell."""
     unit = _unit(raw)
-    codes = cells(unit, tables, probes, scale)
+    codes = np.zeros((len(unit), tables, probes), np.uint64)
+    known = np.zeros(len(unit), bool)  # only rows with a link need their cells again
     fast = unit.astype(np.float32)
     out_i, out_j = [], []
     for start in range(0, len(left), 512):
@@ -183,6 +184,9 @@ def _linked(raw: list[bytes], left: np.ndarray, right: np.ndarray, both: bool, t
             a, b = i[at : at + 100_000], j[at : at + 100_000]
             on = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
             a, b = a[on], b[on]
+            new = np.setdiff1d(np.concatenate([a, b]), np.flatnonzero(known))
+            if len(new):
+                codes[new], known[new] = cells(unit[new], tables, probes, scale), True
             on = cell_of(_first_meeting(codes[a], codes[b]))
             out_i.append(a[on])
             out_j.append(b[on])
