@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -42,8 +42,8 @@ from quillspan.llm.components import connected_components
 from quillspan.llm.shared import WordTable, chunks_of, cut, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
-#: Pairs whose signatures agree less than this much below the threshold are not verified: over six standard deviations.
-SLACK = 0.2
+#: Pairs whose signatures agree less than this much below the threshold are not verified: five standard deviations.
+SLACK = 0.16
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -151,19 +151,23 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         pa.array([None if x is None else hashlib.md5(x.encode()).digest() for x in own], pa.binary()),
                         pa.array(per),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1))),
-                        pa.array([v.tobytes() if s else None for v, s in zip((values & np.uint64(0xFFFF)).astype("<u2"), some, strict=True)], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(offsets * rows), pa.array((values[some] & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16).reshape(-1))),
                     ],
                     ["row_id", "doc_id", "digest", "n_shingles", "keys", "signature"],
                 )
                 at, row = at + n, row + n
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(sign, "row_id long, doc_id long, digest binary, n_shingles long, keys array<long>, signature binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(sign, "row_id long, doc_id long, digest binary, n_shingles long, keys array<long>, signature array<smallint>")
 
 
-@pandas_udf(DoubleType())
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+def agreement(a: Column, b: Column) -> Column:
     """Share of the registers in which two signatures agree."""
-    return pd.Series([float(np.mean(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2"))) for x, y in zip(a, b, strict=True)], dtype=float)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x) / F.size(a)
+
+
+def first_shared(a: Column, b: Column) -> Column:
+    """The first band key that two documents share."""
+    return F.element_at(F.filter(F.zip_with(a, b, lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
 
 
 @pandas_udf(DoubleType())
@@ -241,19 +245,19 @@ def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: floa
     full = keys.groupBy("key").agg(hub, F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     buckets = cut(keys.join(full, "key"), "buckets")
     some = cut(buckets.select("node").distinct(), "candidates")
-    sides = cut(own.select(F.col("row_id").alias("node"), "n_shingles", "signature").join(some, "node"), "candidate-signatures")
+    sides = cut(own.select(F.col("row_id").alias("node"), "n_shingles", "signature", "keys").join(some, "node"), "candidate-signatures")
     wanted = nodes.join(some, "node").select("node", "digest", F.col("doc_id").alias("_doc"))
     texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.col("doc_id").cast("long").alias("_id"), "text").filter("text is not null")
     texts = texts.join(wanted, (texts["digest"] == wanted["digest"]) & F.col("_id").eqNullSafe(F.col("_doc"))).select("node", "text")
     texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
 
     def side(frame: DataFrame, to: str) -> DataFrame:
-        return frame.withColumnsRenamed({c: to if c == "node" else f"{c}_{to}" for c in frame.columns})
+        return frame.drop("keys").withColumnsRenamed({c: to if c == "node" else f"{c}_{to}" for c in frame.columns})
 
     def likely(pairs: DataFrame) -> DataFrame:
         p = pairs.join(side(sides, "a"), "a").join(side(sides, "b"), "b")
         p = p.filter(F.least("n_shingles_a", "n_shingles_b") >= threshold * F.greatest("n_shingles_a", "n_shingles_b"))
-        return p.filter(agreement("signature_a", "signature_b") >= threshold - SLACK).select("a", "b")
+        return p.filter(agreement(F.col("signature_a"), F.col("signature_b")) >= threshold - SLACK).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         p = pairs.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
@@ -278,11 +282,15 @@ def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: floa
     placed = placed.join(weights, "node")
     least = placed.groupBy("key").agg(F.min("whole").alias("_least"))
     placed = placed.join(least, "key").filter(F.col("shared") >= need * (F.col("whole") + F.col("_least"))).drop("_least")
-    sided = lambda to: placed.select("key", *[F.col(c).alias(to if c == "node" else f"{c}_{to}") for c in ("node", "part", "whole", "shared")])
+    placed = placed.join(sides.select("node", "signature", "keys"), "node")
+    sided = lambda to: placed.select("key", *[F.col(c).alias(to if c == "node" else f"{c}_{to}") for c in ("node", "part", "whole", "shared", "signature", "keys")])
     enough = F.least("shared_a", "shared_b") >= need * (F.col("whole_a") + F.col("whole_b"))
-    pairs = sided("a").join(sided("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & enough).select("a", "b").distinct()
+    # a pair is listed in the first bucket that both are in, if their signatures are near enough
+    once = first_shared(F.col("keys_a"), F.col("keys_b")) == F.col("key")
+    near = agreement(F.col("signature_a"), F.col("signature_b")) >= threshold - SLACK
+    pairs = sided("a").join(sided("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & enough & once & near).select("a", "b")
     tried = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return links.union(verified(likely(pairs.join(tried, ["a", "b"], "left_anti"))))
+    return links.union(verified(pairs.join(tried, ["a", "b"], "left_anti")))
 
 
 def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
