@@ -277,7 +277,7 @@ def predictor(spark, model: ChainCRF, name: str):
             _TABLES[name] = crf, WordTable(crf.word_rows)
         crf, table = _TABLES[name]
         langs, scores = [], []
-        for _, words, counts in chunks_of(texts, split=str.split):
+        for _, words, counts in chunks_of(texts, 120_000, str.split):
             if crf.states:
                 at = table.indices(words)
                 rows = table.rows[at] if len(at) else np.zeros((0, len(crf.states) + 1))

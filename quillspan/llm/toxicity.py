@@ -130,7 +130,7 @@ def predictor(spark, model: OrdinalModel):
             _TABLES[name] = shared.value, WordTable(shared.value.word_rows)
         own, table = _TABLES[name]
         parts = []
-        for _, words, counts in chunks_of(texts, split=str.split):
+        for _, words, counts in chunks_of(texts, 120_000, str.split):
             scores = np.zeros(len(counts))
             if words:
                 ends = np.cumsum(counts)
