@@ -292,7 +292,7 @@ def predictor(spark, model: ChainCRF, name: str):
                 scores.append(min(1.0, float(sums[k, best[k]] / total[k])) if known else 0.0)
         return pd.DataFrame({"lang": langs, "score": scores})
 
-    return predict
+    return predict.asNondeterministic()  # else a filter and a projection would each run it
 
 
 def train(docs: DataFrame, per_language: int = 150) -> ChainCRF:

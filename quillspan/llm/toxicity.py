@@ -143,7 +143,7 @@ def predictor(spark, model: OrdinalModel):
         grade, severity, p_toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pd.DataFrame({"grade": grade.astype(np.int32), "severity": severity, "p_toxic": p_toxic})
 
-    return predict
+    return predict.asNondeterministic()  # else a filter and a projection would each run it
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> OrdinalModel:
