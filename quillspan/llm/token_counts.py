@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quillspan.llm.shared import cut, scratch_dir, words_of
-from quillspan.llm.subwords import byte_bpe
+from quillspan.llm.subwords import ids_of
 
 #: Tokenizers by version: text -> number of tokens.  A change of rules gets a new version.
 TOKENIZERS = {
-    "byte_bpe_50k@1": lambda t: len(byte_bpe().encode_ordinary(t)),
+    "byte_bpe_50k@1": lambda t: len(ids_of(t)),
     "words@1": lambda t: len(words_of(t)),
 }
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
