@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.components import connected_components
+from quillspan.llm.components import connected_components, trees
 from quillspan.llm.minhash import mixed
-from quillspan.llm.shared import cut
+from quillspan.llm.shared import cut, grouped
 
 THRESHOLD, TABLES, PROBES, SCALE, BLOCK_ROWS, SEED = 0.98, 4, 4, 5.0, 2000, 11
 
@@ -220,36 +220,12 @@ def _compared(units: DataFrame, threshold: float, tables: int, probes: int, scal
             return None
         links = np.bincount(a, weights=n[b], minlength=len(node)) + np.bincount(b, weights=n[a], minlength=len(node))
         root = np.arange(len(node))
-        while True:  # the least row of each tree
-            before = root.copy()
-            np.minimum.at(root, a, root[b])
-            np.minimum.at(root, b, root[a])
-            root = root[root]
-            if (root == before).all():
-                break
+        tree = trees(a, b)
+        root[tree[0]] = tree[1]
         on = links > 0
         return pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(links[on].astype(np.int64)), pa.array(node[root[on]])], ["node", "links", "root"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.stack([batch[c].to_numpy() for c in ("key", "i", "j")])
-            starts = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(axis=0)]))
-            for start, end in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
-                name = tuple(ids[:, start])
-                if name != last and waiting:
-                    if (out := work(waiting)) is not None:
-                        yield out
-                    waiting = []
-                last = name
-                waiting.append(batch.slice(start, end - start))
-        if waiting and (out := work(waiting)) is not None:
-            yield out
-
-    return units.mapInArrow(compare, "node long, links long, root long")
+    return units.mapInArrow(grouped(["key", "i", "j"], work), "node long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:

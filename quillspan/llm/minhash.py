@@ -13,10 +13,11 @@ Exact copies are collapsed first.  Signatures are cut into bands; documents that
 share a band are candidates, and a link is a candidate pair whose multisets of
 shingles, counted from the texts, have a similarity of at least `threshold`.
 A bucket's pairs are not all written out: its documents are first tried against one
-hub; later only documents still in different components are paired, and of those only
-pairs that can still be similar, given how many shingles of each occur in no other
-document left.  Pairs inside a component can't change it, so the components are
-those of all candidates.
+hub; later only documents still in different components are compared, and of those
+only what can still be similar, given how many shingles of each occur in no other
+document left.  A bucket is cut into blocks, each pair of blocks is compared inside
+one task, and a forest of links comes out.  Pairs inside a component can't change it,
+so the components are those of all candidates.
 
 Defined results: null text links with nothing; texts without words are copies of
 each other only if equal; repeated rows are copies; the row with the least doc_id
@@ -26,6 +27,7 @@ each other only if equal; repeated rows are copies; the row with the least doc_i
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +41,9 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from quillspan.llm.components import connected_components
-from quillspan.llm.shared import WordTable, chunks_of, cut, words_of
+from quillspan.llm.shared import WordTable, chunks_of, cut, grouped, words_of
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
+SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK_ROWS = 5, 0.8, 32, 5, 500
 #: Pairs whose signatures agree less than this much below the threshold are not verified: five standard deviations.
 SLACK = 0.16
 
@@ -120,8 +122,8 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: i
 
 
 def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band; the band's number is part of it."""
-    parts = values.reshape(len(values), bands, rows)
+    """One 64-bit key per band, of the low 16 bits of its registers; the band's number is part of it."""
+    parts = (values & values.dtype.type(0xFFFF)).astype(np.uint64).reshape(len(values), bands, rows)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _M2, parts.shape[:2]).copy()
     for r in range(rows):
         key = mixed(key * np.uint64(31) + parts[:, :, r])
@@ -165,11 +167,6 @@ def agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x) / F.size(a)
 
 
-def first_shared(a: Column, b: Column) -> Column:
-    """The first band key that two documents share."""
-    return F.element_at(F.filter(F.zip_with(a, b, lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
-
-
 @pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Weighted Jaccard similarity of the shingle multisets of two texts, counted exactly."""
@@ -188,9 +185,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         (h, c), (g, e) = bag(x), bag(y)
         if not len(h) or not len(g):
             return float(x == y)
-        at = np.minimum(np.searchsorted(g, h), len(g) - 1)
-        common = np.minimum(c, e[at])[g[at] == h].sum()
-        return float(common / (c.sum() + e.sum() - common))
+        return overlap((h, c), (g, e))
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
@@ -220,14 +215,14 @@ def _shared_weights(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     return sizes.join(alone, "node", "left").select("node", F.col("n_shingles").alias("whole"), (F.col("n_shingles") - F.coalesce("_alone", F.lit(0))).alias("shared"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row for each row of docs (doc_id, text): row_id, doc_id, digest, class_id (least doc_id of its near-duplicates), kept."""
     d = docs.select("doc_id", "text")
     signed = cut(_signed(d, bands, rows), "signed")
     # a node stands for all rows with the same text
     nodes = signed.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("row_id", "doc_id")).alias("_first")).select("digest", F.col("_first.row_id").alias("node"), F.col("_first.doc_id").alias("doc_id"))
     nodes = cut(nodes, "nodes")
-    links = connected_components(cut(_links(d, signed, nodes, threshold), "links"))
+    links = connected_components(cut(_links(d, signed, nodes, threshold, bands, block_rows), "links"))
     found = nodes.select("digest", "node").join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.select("row_id", "doc_id", "digest").join(found, "digest", "left").withColumn("component", F.coalesce("component", "row_id"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
@@ -236,7 +231,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     return out.select("row_id", "doc_id", "digest", F.col("_first.doc_id").alias("class_id"), (F.col("row_id") == F.col("_first.row_id")).alias("kept"))
 
 
-def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: float, bands: int, block_rows: int) -> DataFrame:
     """Verified links a, b between nodes, enough to give the components of all candidate pairs."""
     own = signed.join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
     keys = own.select(F.col("row_id").alias("node"), F.explode("keys").alias("key"))
@@ -245,14 +240,14 @@ def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: floa
     full = keys.groupBy("key").agg(hub, F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     buckets = cut(keys.join(full, "key"), "buckets")
     some = cut(buckets.select("node").distinct(), "candidates")
-    sides = cut(own.select(F.col("row_id").alias("node"), "n_shingles", "signature", "keys").join(some, "node"), "candidate-signatures")
+    sides = cut(own.select(F.col("row_id").alias("node"), "n_shingles", "signature").join(some, "node"), "candidate-signatures")
     wanted = nodes.join(some, "node").select("node", "digest", F.col("doc_id").alias("_doc"))
     texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.col("doc_id").cast("long").alias("_id"), "text").filter("text is not null")
     texts = texts.join(wanted, (texts["digest"] == wanted["digest"]) & F.col("_id").eqNullSafe(F.col("_doc"))).select("node", "text")
     texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
 
     def side(frame: DataFrame, to: str) -> DataFrame:
-        return frame.drop("keys").withColumnsRenamed({c: to if c == "node" else f"{c}_{to}" for c in frame.columns})
+        return frame.withColumnsRenamed({c: to if c == "node" else f"{c}_{to}" for c in frame.columns})
 
     def likely(pairs: DataFrame) -> DataFrame:
         p = pairs.join(side(sides, "a"), "a").join(side(sides, "b"), "b")
@@ -273,24 +268,105 @@ def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: floa
     # then all nodes of a bucket that are still in different components
     parts = connected_components(links)
     placed = buckets.select("node", "key").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed_keys = placed.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b").select("key")
-    placed = cut(placed.join(mixed_keys, "key"), "mixed-buckets")
+    placed = cut(_mixed(placed), "mixed-buckets")
     # with s in common, a pair of sizes v and w reaches the threshold t only if s >= t / (1 + t) * (v + w)
     left = placed.select("node").distinct()
     weights = cut(_shared_weights(texts.join(left, "node"), sides.select("node", "n_shingles").join(left, "node")), "shared-weights")
     need = threshold / (1.0 + threshold) - 1e-9
     placed = placed.join(weights, "node")
     least = placed.groupBy("key").agg(F.min("whole").alias("_least"))
-    placed = placed.join(least, "key").filter(F.col("shared") >= need * (F.col("whole") + F.col("_least"))).drop("_least")
-    placed = placed.join(sides.select("node", "signature", "keys"), "node")
-    sided = lambda to: placed.select("key", *[F.col(c).alias(to if c == "node" else f"{c}_{to}") for c in ("node", "part", "whole", "shared", "signature", "keys")])
-    enough = F.least("shared_a", "shared_b") >= need * (F.col("whole_a") + F.col("whole_b"))
-    # a pair is listed in the first bucket that both are in, if their signatures are near enough
-    once = first_shared(F.col("keys_a"), F.col("keys_b")) == F.col("key")
-    near = agreement(F.col("signature_a"), F.col("signature_b")) >= threshold - SLACK
-    pairs = sided("a").join(sided("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & enough & once & near).select("a", "b")
-    tried = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return links.union(verified(pairs.join(tried, ["a", "b"], "left_anti")))
+    placed = placed.join(least, "key").filter(F.col("shared") >= need * (F.col("whole") + F.col("_least"))).select("key", "node", "part")
+    placed = cut(_mixed(placed), "open-buckets")
+    return links.union(_compared(placed, _packed_bags(texts), sides, threshold, bands, block_rows))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows (key, node, part) of buckets with nodes of more than one part."""
+    keys = placed.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b").select("key")
+    return placed.join(keys, "key")
+
+
+def _packed_bags(texts: DataFrame) -> DataFrame:
+    """node, bag: each text's distinct shingles, ascending, and their counts, as bytes."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(word_hashes)
+        for batch in batches:
+            nodes, at = batch["node"].to_numpy(), 0
+            for n, words, counts in chunks_of(batch["text"].to_pylist(), 200_000):
+                text, h, c = multisets(*shingles(table.look(words) if words else np.zeros(0, np.uint64), counts))
+                ends = np.searchsorted(text, np.arange(n + 1))
+                bag = [h[a:z].tobytes() + c[a:z].astype(np.uint32).tobytes() for a, z in itertools.pairwise(ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + n]), pa.array(bag, pa.binary())], ["node", "bag"])
+                at += n
+
+    return texts.select("node", "text").mapInArrow(bags, "node long, bag binary")
+
+
+def _bag(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 12
+    return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n).astype(np.int64)
+
+
+def overlap(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two bags (distinct shingles ascending, counts), neither empty."""
+    (h, c), (g, e) = x, y
+    at = np.minimum(np.searchsorted(g, h), len(g) - 1)
+    common = np.minimum(c, e[at])[g[at] == h].sum()
+    return float(common / (c.sum() + e.sum() - common))
+
+
+def _compared(placed: DataFrame, bags: DataFrame, sides: DataFrame, threshold: float, bands: int, block_rows: int) -> DataFrame:
+    """a, b: links between parts, from blocks of buckets (key, node, part), each pair of blocks in one task.
+
+    A pair is looked at in the first bucket that both are in, if its signatures are near
+    enough, and verified unless links of this block pair have joined its parts already:
+    what comes out is a forest, never a list of pairs.
+    """
+    sizes = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
+    p = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    units = F.transform(every, lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    p = p.withColumn("_u", F.explode(units)).select("node", "key", F.col("_u.i").alias("i"), F.col("_u.j").alias("j"), "block", "part")
+    p = p.join(sides, "node").join(bags, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def work(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(rows)
+        block, node, part, whole = (t[c].to_numpy() for c in ("block", "node", "part", "n_shingles"))
+        key, i, j = (t[c][0].as_py() for c in ("key", "i", "j"))
+        signature = np.stack([np.asarray(s.values) for s in t["signature"]]).view(np.uint16)
+        keys = band_keys(signature, bands, signature.shape[1] // bands)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        raw, bag, root, found = t["bag"], {}, {}, []
+
+        def top(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = x = root.get(y, y)
+            return x
+
+        for a in left.tolist():
+            r = right[(right > a)] if i == j else right
+            r = r[part[r] != part[a]]
+            r = r[np.minimum(whole[r], whole[a]) >= threshold * np.maximum(whole[r], whole[a])]
+            r = r[(signature[r] == signature[a]).mean(axis=1) >= threshold - SLACK] if len(r) else r
+            if not len(r):
+                continue
+            same = keys[r] == keys[a]
+            for b in r[(keys[a][same.argmax(axis=1)] == key) & same.any(axis=1)].tolist():
+                if (x := top(int(part[a]))) == (y := top(int(part[b]))):
+                    continue
+                for k in (a, b):
+                    if k not in bag:
+                        bag[k] = _bag(raw[k].as_py())
+                if overlap(bag[a], bag[b]) >= threshold:
+                    root[max(x, y)] = min(x, y)
+                    found.append((a, b))
+        if not found:
+            return None
+        a, b = np.array(found).T
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    return p.mapInArrow(grouped(["key", "i", "j"], work), "a long, b long")
 
 
 def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -301,11 +377,16 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that aren't kept; all columns stay as they are."""
-    found = classes(docs, **options).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    d = docs.withColumn("_digest", digest)
-    d = d.join(found, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & F.col("_digest").eqNullSafe(F.col("_kept_digest")))
-    # rows repeated under one id: one of them (null texts, which aren't copies of anything, all have kept rows)
-    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_kept_id", "_kept_digest").orderBy(F.lit(1))))
-    return d.filter("_nth = 1 or text is null").select(docs.columns)
+    """docs without the rows that aren't kept; all columns stay as they are, whatever their names.
+
+    Rows repeated under one id are one row; null texts are copies of nothing, and all stay.
+    """
+    found = classes(docs, **options)
+    found = found.filter("digest is not null").groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("kept")
+    found = found.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"), F.col("n").alias("_n"))
+    # the row travels as one column, so that no name of it can clash
+    d = docs.select(F.col("doc_id").cast("long").alias("_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("_digest"), F.struct("*").alias("_row"))
+    own = d.filter("_digest is not null").join(found, (F.col("_digest") == F.col("_kept_digest")) & F.col("_id").eqNullSafe(F.col("_kept_id")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(1)))
+    repeated = own.filter("_n > 1").withColumn("_nth", nth).filter("_nth <= 1")
+    return d.filter("_digest is null").select("_row.*").union(own.filter("_n = 1").select("_row.*")).union(repeated.select("_row.*"))

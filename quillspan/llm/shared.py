@@ -7,9 +7,10 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,28 +26,68 @@ _OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u2
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    A local session without that setting (a test) gets a folder of its own; on a
+    cluster it has to be set, as other machines don't see a folder of this one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="quillspan-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/quillspan/{spark.sparkContext.applicationId}"
 
 
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later plans start from files, so no lost executor recomputes what came before."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove every scratch table of this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def scratch_mark() -> int:
+    """A place in the list of scratch tables, for drop_scratch."""
+    return len(_WRITTEN)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Remove the scratch tables written since a mark, but the last `but`; what was read from them can't be read again."""
+    gone = _WRITTEN[since : len(_WRITTEN) - but]
+    for at in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN[since : since + len(gone)] = []
+
+
+def grouped(keys: list[str], work: Callable[[list[pa.RecordBatch]], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function: work() on each run of rows with equal keys (numbers), for rows sorted by them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch[c].to_numpy() for c in keys])
+            starts = np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(axis=0)]))
+            for start, end in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+                name = tuple(ids[:, start])
+                if name != last and waiting:
+                    if (out := work(waiting)) is not None:
+                        yield out
+                    waiting = []
+                last = name
+                waiting.append(batch.slice(start, end - start))
+        if waiting and (out := work(waiting)) is not None:
+            yield out
+
+    return run
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -176,7 +176,11 @@ def test_components(spark, shape):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+    want = {n: find(n) for e in edges if e[0] != e[1] for n in e}
+    assert got == want
+    # rounds of contraction, with edges dealt over tasks of a few edges each
+    spread = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    assert {r["node"]: r["component"] for r in components.connected_components(spread, few=2, flush=3).collect()} == want
 
 
 def test_apportionment(spark):
@@ -253,8 +257,31 @@ def test_near_copies_against_brute_force(spark):
     rows += [(20_000 + k, " ".join(word() for _ in range(80)) + " " + passage) for k in range(30)]
     rows += [(30_000 + k, ("repeat me " * (50 + k)).strip()) for k in range(12)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(d).collect()}
-    assert got == brute_classes(rows)
+    want = brute_classes(rows)
+    for block_rows in (500, 7):
+        assert {r["doc_id"]: r["class_id"] for r in minhash.classes(d, block_rows=block_rows).collect()} == want
+
+
+def test_one_large_group_of_near_copies(spark):
+    """A thousand edited copies of one text: every class is that of all pairs counted exactly."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(200)], []
+    for k in range(1000):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 3, 4, 8, 12, 20))):
+            w[rng.randrange(200)] = word()
+        rows.append((k, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), block_rows=100).collect()}
+    grams = [{tuple(w[i : i + 5]) for i in range(196)} for w in (t.split() for _, t in rows)]
+    column = {g: i for i, g in enumerate(sorted({g for s in grams for g in s}))}
+    has = np.zeros((1000, len(column)), np.float32)
+    for k, s in enumerate(grams):
+        has[k, [column[g] for g in s]] = 1
+    common = has @ has.T
+    i, j = np.nonzero(common / (has.sum(1)[:, None] + has.sum(1)[None] - common) >= 0.8)
+    nodes, root = components.trees(i, j)
+    assert len(set(root)) > 20 and got == dict(zip(nodes.tolist(), root.tolist(), strict=True))
 
 
 def test_signatures_estimate_weighted_jaccard():
