@@ -174,17 +174,16 @@ def chunks_of(texts: Iterable[str | None], most_words: int = 500_000, split: Cal
         yield len(counts), words, np.array(counts, np.int64)
 
 
-def sampled_per_class(df: DataFrame, label: str, key: Column, per_class: int, classes: int = 64) -> DataFrame:
-    """About per_class rows of each label, by a hash of key: no sort, no group in one task.
+def sampled_per_class(df: DataFrame, label: str, key: Column, per_class: int, most_rows: int | None = None) -> DataFrame:
+    """About per_class rows of each value of label, by a hash of key: no sort, no group in one task.
 
-    Only the `classes` most frequent labels are sampled, which bounds the sample
-    by about classes * per_class rows.
+    With many values each has fewer, at least one, so that about most_rows come out
+    and no value is left out.  One number for each value goes to the driver.
     """
-    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()
+    counts = [(r[0], r[1]) for r in df.groupBy(label).count().collect()]
     if not counts:
         return df.limit(0)
+    most = min(per_class, max(1, most_rows // len(counts))) if most_rows else per_class
     share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for row in counts:
-        keep = keep | ((F.col(label) == F.lit(row[0])) & (share < 1.0 * per_class / row["count"]))
-    return df.filter(keep)
+    rates = df.sparkSession.createDataFrame([(v, most / c) for v, c in counts], f"_label {df.schema[label].dataType.simpleString()}, _rate double")
+    return df.join(F.broadcast(rates), F.col(label) == F.col("_label")).filter(share < F.col("_rate")).select(*df.columns)

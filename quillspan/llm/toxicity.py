@@ -6,8 +6,12 @@ features of a text: whole words, and five-letter pieces of words (with marks at
 both ends), kept where labelled toxic texts have them far more often than clean
 ones.  The output is the distribution's mean, the expected severity.
 
-Grades come from the labels' column (0: clean).  Where labels only say toxic or
-not, `graded` grades a toxic text by its number of marker words: 1, 2-3, or more.
+Grades are the labels' own values, in order (0 and below: clean).  Where labels say
+only 0 or 1, a toxic text is graded 1, 2 or 3 by its number of words with markers -
+one, two or three, more - chosen on the half of the sample that the text isn't in.
+
+Features are taken from the texts inside tasks; the driver sees counts of features
+and, for each text of the bounded sample, the numbers of its markers.
 
 Defined results: null and empty texts have grade 0 and the severity of a text
 without features; repeated rows get equal results; texts are read whole.
@@ -18,16 +22,18 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quillspan.llm.language_id import bare
-from quillspan.llm.shared import WordTable, chunks_of, sampled_per_class
+from quillspan.llm.shared import WordTable, chunks_of, cut, sampled_per_class
 
 PIECE = 5
 
@@ -45,13 +51,32 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
+def likelihood(w: np.ndarray, th: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log likelihood of grades y under a cumulative-link model, and its slopes in weights and thresholds.
+
+    rows, cols: a text and a marker for each occurrence.
+    """
+    x = np.bincount(rows, weights=w[cols], minlength=len(y)) if len(rows) else np.zeros(len(y))
+    p = sigmoid(x[:, None] - th[None, :])  # P(grade > k)
+    full = np.hstack([np.ones((len(y), 1)), p, np.zeros((len(y), 1))])
+    each = np.arange(len(y))
+    mass = np.maximum(full[each, y] - full[each, y + 1], 1e-12)  # P(grade = y)
+    k = np.arange(len(th))[None, :]
+    sign = np.where(k == y[:, None] - 1, 1.0, 0.0) - np.where(k == y[:, None], 1.0, 0.0)
+    slope = p * (1 - p) * sign / mass[:, None]
+    d_x = slope.sum(1) / len(y)
+    d_w = np.bincount(cols, weights=d_x[rows], minlength=len(w)) if len(rows) else np.zeros(len(w))
+    return float(np.log(mass).mean()), d_w, -slope.sum(0) / len(y)
+
+
 @dataclass
 class OrdinalModel:
-    """Weights of marker features, and ascending thresholds between grades 0..len(thresholds)."""
+    """Weights of marker features, and ascending thresholds between the grades' values (the first is clean)."""
 
     markers: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         """Sum of the weights of each word's features."""
@@ -63,57 +88,80 @@ class OrdinalModel:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
     @classmethod
-    def train(cls, texts: list[str], toxic: list[int], grades: int = 3, steps: int = 1500, rate: float = 0.3, least_ratio: float = 8.0) -> OrdinalModel:
-        """Choose markers by document frequency, then maximise the ordinal likelihood (projected so that markers never lower a grade)."""
-        toxic = np.array([int(bool(t)) for t in toxic])
-        n_toxic, n_clean = int(toxic.sum()), int((toxic == 0).sum())
-        if not n_toxic or not n_clean:
-            return cls()
-        sets = [sorted({w for w in map(bare, t.split()) if w}) for t in texts]
-        in_toxic = Counter(f for s, y in zip(sets, toxic, strict=True) if y for f in {f for w in s for f in features(w)})
-        often = {f: c for f, c in in_toxic.items() if c >= max(3, 0.002 * n_toxic)}
-        in_clean = Counter(f for s, y in zip(sets, toxic, strict=True) if not y for f in {f for w in s for f in features(w) if f in often})
-        lift = {f: ((c + 0.5) / n_toxic) / ((in_clean[f] + 0.5) / n_clean) for f, c in often.items()}
-        kept = sorted(f for f, r in lift.items() if r >= least_ratio and in_clean[f] <= 0.002 * n_clean + 1)
-        model = cls({f: i for i, f in enumerate(kept)}, np.zeros(len(kept)), np.arange(grades, dtype=float))
-        rows, cols, hits = [], [], np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            for w in t.split():
-                own = [model.markers[f] for f in features(w) if f in model.markers]
-                hits[k] += bool(own)
-                rows += [k] * len(own)
-                cols += own
-        y = graded(toxic, hits, grades)
-        rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
-        w, th = np.full(len(kept), 0.5), np.arange(grades) * 1.0 + 1.0
-        g_w, g_t = np.full(len(kept), 1e-8), np.full(grades, 1e-8)
-        above = (y[:, None] > np.arange(grades)[None, :]).astype(float)
-        near = (np.arange(grades)[None, :] == y[:, None]) | (np.arange(grades)[None, :] == y[:, None] - 1)
+    def fit(cls, markers: list[str], rows: np.ndarray, cols: np.ndarray, y: np.ndarray, values: list[float], steps: int = 1500, rate: float = 0.3) -> OrdinalModel:
+        """Maximise the likelihood by AdaGrad, projected so that markers never lower a grade and thresholds stay in order."""
+        grades = len(values) - 1
+        w, th = np.full(len(markers), 0.5), np.arange(grades) * 1.0 + 1.0
+        g_w, g_t = np.full(len(markers), 1e-8), np.full(grades, 1e-8)
         for _ in range(steps):
-            x = np.zeros(len(texts))
-            np.add.at(x, rows, w[cols])
-            # log P(y) = log(F(th_y - x) - F(th_{y-1} - x)); its slope in x and in each threshold
-            p = sigmoid(x[:, None] - th[None, :])
-            full = np.hstack([np.ones((len(y), 1)), p, np.zeros((len(y), 1))])
-            mass = np.maximum(full[np.arange(len(y)), y] - full[np.arange(len(y)), y + 1], 1e-9)
-            slope = p * (1 - p) * np.where(above > 0, 1.0, -1.0) * near / mass[:, None]
-            d_x, d_t = slope.sum(1), -slope.sum(0)
-            d_w = np.zeros(len(kept))
-            np.add.at(d_w, cols, d_x[rows])
-            d_w = d_w / len(y) - 1e-4 * w
-            d_t = d_t / len(y)
+            _, d_w, d_t = likelihood(w, th, rows, cols, y)
+            d_w = d_w - 1e-4 * w
             g_w += d_w**2
             g_t += d_t**2
             w = np.maximum(0.0, w + rate * d_w / np.sqrt(g_w))
             th = np.maximum.accumulate(th + rate * d_t / np.sqrt(g_t) + np.arange(grades) * 1e-6)
-        model.weights, model.thresholds = w, th
-        return model
-
-
-def graded(toxic: np.ndarray, hits: np.ndarray, grades: int) -> np.ndarray:
-    """Grade of each text: 0 if clean, else 1 for at most one marker word and one more each time their number doubles."""
-    level = 1 + np.floor(np.log2(np.maximum(hits, 1))).astype(np.int64)
-    return np.where(toxic > 0, np.minimum(level, grades), 0)
+        return cls({f: i for i, f in enumerate(markers)}, w, th, np.array(values, float))
+
+
+def level(hits: np.ndarray, grades: int) -> np.ndarray:
+    """Grade of a toxic text by its words with markers: 1 for at most one, and one more each time their number doubles."""
+    return np.minimum(1 + np.floor(np.log2(np.maximum(hits, 1))).astype(np.int64), grades)
+
+
+def _featured(batches: Iterator[pa.RecordBatch], among: set[str] | None) -> Iterator[pa.RecordBatch]:
+    """toxic, fold, feature, c: in how many texts of this task each feature is."""
+    memo: dict[str, list[str]] = {}
+    seen: Counter = Counter()
+    for batch in batches:
+        for text, toxic, fold in zip(*(batch[c].to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+            found: set[str] = set()
+            for w in set(text.split()):
+                if w not in memo:
+                    if len(memo) > 200_000:
+                        memo.clear()
+                    memo[w] = features(w) if among is None else [f for f in features(w) if f in among]
+                found.update(memo[w])
+            seen.update((toxic > 0, fold, f) for f in found)
+    toxic, fold, feature = zip(*seen, strict=True) if seen else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.bool_()), pa.array(fold, pa.int32()), pa.array(feature, pa.string()), pa.array(list(seen.values()), pa.int64())], ["toxic", "fold", "feature", "c"])
+
+
+def feature_counts(sample: DataFrame, among: set[str] | None = None) -> DataFrame:
+    """feature, fold, c: texts of sample (text, toxic, fold) with a feature, of all or of some features."""
+    counts = sample.mapInArrow(lambda b: _featured(b, among), "toxic boolean, fold int, feature string, c long")
+    return counts.groupBy("feature", "fold").agg(F.sum("c").alias("c"))
+
+
+def chosen_markers(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_ratio: float = 8.0) -> list[str]:
+    """Features that toxic texts have at least least_ratio times as often, and clean ones hardly ever."""
+    lift = lambda f: ((toxic[f] + 0.5) / max(n_toxic, 1)) / ((clean.get(f, 0) + 0.5) / max(n_clean, 1))
+    often = max(3, 0.002 * n_toxic)
+    return sorted(f for f, c in toxic.items() if c >= often and clean.get(f, 0) <= 0.002 * n_clean + 1 and lift(f) >= least_ratio)
+
+
+def marked(sample: DataFrame, markers: list[str], by_fold: list[list[str]]) -> DataFrame:
+    """toxic, hits (words with a marker of the text's own fold's list), cols (numbers of markers, one for each occurrence) for each text."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, own = {f: i for i, f in enumerate(markers)}, [set(x) for x in by_fold]
+        memo: dict[str, tuple[list[int], list[bool]]] = {}
+        for batch in batches:
+            hits, cols = [], []
+            for text, fold in zip(batch["text"].to_pylist(), batch["fold"].to_pylist(), strict=True):
+                n, at = 0, []
+                for w in text.split():
+                    if w not in memo:
+                        if len(memo) > 200_000:
+                            memo.clear()
+                        names = features(w)
+                        memo[w] = [number[f] for f in names if f in number], [any(f in x for f in names) for x in own]
+                    at += memo[w][0]
+                    n += memo[w][1][fold]
+                hits.append(n)
+                cols.append(at)
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(hits, pa.int64()), pa.array(cols, pa.list_(pa.int32()))], ["toxic", "hits", "cols"])
+
+    return sample.mapInArrow(mark, "toxic int, hits long, cols array<int>")
 
 
 _TABLES: dict[str, tuple[OrdinalModel, WordTable]] = {}
@@ -137,7 +185,8 @@ def predictor(spark, model: OrdinalModel):
                 sums = np.concatenate([[0.0], np.cumsum(table.look(words))])
                 scores = np.maximum(0.0, sums[ends] - sums[ends - counts])
             p = own.above(scores)
-            parts.append((np.sum(p > 0.5, axis=1), p.sum(axis=1), p[:, 0] if p.shape[1] else np.zeros(len(p))))
+            v = own.values
+            parts.append((v[np.sum(p > 0.5, axis=1)], v[0] + p @ np.diff(v), p[:, 0] if p.shape[1] else np.zeros(len(p))))
         if not parts:
             return pd.DataFrame({"grade": [], "severity": [], "p_toxic": []})
         grade, severity, p_toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -146,17 +195,40 @@ def predictor(spark, model: OrdinalModel):
     return predict.asNondeterministic()  # else a filter and a projection would each run it
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> OrdinalModel:
-    """Fit on a bounded sample: about per_class toxic and per_class clean texts, chosen by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_features: int = 100_000, grades: int = 3, steps: int = 1500) -> OrdinalModel:
+    """Fit on a bounded sample: about per_class texts of each grade, chosen by a hash of doc_id, and the most_features most frequent features of toxic ones.
 
-    A document labelled more than once counts as toxic if any label says so; null ids and labels are left out.
+    A document labelled more than once has its highest label; null ids and labels are left out.
     """
-    one = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = sampled_per_class(one.withColumn("toxic", (F.col("toxic") > 0).cast("int")), "toxic", F.col("doc_id"), per_class, 2)
-    # at most some 2 * per_class rows of two integers
-    rows = docs.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect()
-    rows.sort()
-    return OrdinalModel.train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    one = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.greatest(F.max(F.col("toxic").cast("int")), F.lit(0)).alias("toxic"))
+    chosen = sampled_per_class(one, "toxic", F.col("doc_id"), per_class)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int").alias("fold")
+    # chosen: some per_class rows of two integers for each grade
+    sample = cut(docs.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold), "labelled")
+    rows = {(r["toxic"], r["fold"]): r["count"] for r in sample.groupBy("toxic", "fold").count().collect()}
+    n = lambda toxic, folds: sum(c for (t, f), c in rows.items() if (t > 0) == toxic and f in folds)
+    if not n(True, (0, 1)) or not n(False, (0, 1)):
+        return OrdinalModel()
+    often = feature_counts(sample.filter("toxic > 0")).groupBy("feature").agg(*[F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in (0, 1)])
+    often = often.withColumn("c", F.col("c0") + F.col("c1")).filter(F.col("c") >= 3).orderBy(F.desc("c"), "feature").limit(most_features).toArrow()
+    toxic = [dict(zip(often["feature"].to_pylist(), often[f"c{k}"].to_pylist(), strict=True)) for k in (0, 1)]
+    found = feature_counts(sample.filter("toxic = 0"), set(toxic[0])).toArrow()
+    clean: list[dict[str, int]] = [{}, {}]
+    for f, k, c in zip(*(found[c].to_pylist() for c in ("feature", "fold", "c")), strict=True):
+        clean[k][f] = c
+    both = lambda x: {f: x[0].get(f, 0) + x[1].get(f, 0) for f in {*x[0], *x[1]}}
+    markers = chosen_markers(both(toxic), both(clean), n(True, (0, 1)), n(False, (0, 1)))
+    values = sorted({0, *(t for t, _ in rows)})
+    by_fold = [chosen_markers(toxic[1 - k], clean[1 - k], n(True, (1 - k,)), n(False, (1 - k,))) for k in (0, 1)] if len(values) == 2 else [[], []]
+    seen = marked(sample, markers, by_fold).toArrow()
+    seen = sorted(zip(*(seen[c].to_pylist() for c in ("toxic", "hits", "cols")), strict=True))
+    stated = np.array([t for t, _, _ in seen])
+    if len(values) == 2:  # only toxic or not
+        y, values = np.where(stated > 0, level(np.array([h for _, h, _ in seen]), grades), 0), list(range(grades + 1))
+    else:
+        y = np.searchsorted(np.array(values), stated)
+    row = np.repeat(np.arange(len(seen)), [len(c) for _, _, c in seen])
+    return OrdinalModel.fit(markers, row, np.array([i for _, _, c in seen for i in c], np.int64), y, values, steps)
 
 
 def toxicity_column(docs: DataFrame, labels: DataFrame, text: Column) -> Column:

@@ -1,5 +1,6 @@
 """Each method against brute force, a round trip, or held-out accuracy."""
 
+import itertools
 import math
 import random
 import zlib
@@ -318,24 +319,52 @@ def test_trees_fit_by_the_largest_gain(spark):
     assert m.grown[0][:2] == max(gains, key=gains.get)
 
 
-def test_ordinal_model_learns_severity():
+def test_likelihood_and_slopes():
+    """Against the model written out text by text, and slopes against differences."""
+    rng = np.random.default_rng(17)
+    rows, cols, y = rng.integers(0, 30, 80), rng.integers(0, 6, 80), rng.integers(0, 5, 30)
+    w, th = rng.random(6), np.array([-0.5, 0.3, 1.0, 2.2])
+    logistic = lambda v: 1 / (1 + math.exp(-v))
+
+    def plain(w, th):
+        total = 0.0
+        for k in range(30):
+            x = sum(w[c] for r, c in zip(rows, cols, strict=True) if r == k)
+            at_most = [0.0, *(logistic(t - x) for t in th), 1.0]
+            total += math.log(at_most[y[k] + 1] - at_most[y[k]])
+        return total / 30
+
+    value, d_w, d_t = toxicity.likelihood(w, th, rows, cols, y)
+    assert value == pytest.approx(plain(w, th))
+    for slope, of in ((d_w, 0), (d_t, 1)):
+        for i in range(len(slope)):
+            step = [np.zeros(6), np.zeros(4)]
+            step[of][i] = 1e-5
+            assert slope[i] == pytest.approx((plain(w + step[0], th + step[1]) - plain(w - step[0], th - step[1])) / 2e-5, abs=1e-6)
+
+
+@pytest.mark.parametrize("labels", [(0, 1), (0, 1, 2, 5)])
+def test_ordinal_model_learns_severity(spark, labels):
+    """Two kinds of labels: only toxic or not, and grades as they are."""
     rng = random.Random(11)
-    texts, toxic = [], []
-    for k in range(400):
+    docs, given, count = [], [], {}
+    for k in range(600):
         w = ["".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(40)]
-        bad = k % 4 == 0
-        if bad:
-            for _ in range(1 + k % 7):
-                w[rng.randrange(40)] = rng.choice(["zyxwvo", "qqpptt"])
-        texts.append(" ".join(w))
-        toxic.append(int(bad))
-    m = toxicity.OrdinalModel.train(texts[:300], toxic[:300])
-    s = np.array([m.word_rows(t.split()).sum() for t in texts[300:]])
-    p = m.above(s)
-    assert ((p[:, 0] > 0.5) == np.array(toxic[300:], bool)).mean() >= 0.98
-    assert (np.diff(p, axis=1) <= 1e-9).all()  # thresholds are ordered
-    many, few = m.above(np.array([m.word_rows(["zyxwvo"] * n).sum() for n in (6, 1)])).sum(1)
-    assert many > few
+        n = {0: 0, 1: 1, 2: 3, 5: 8}[grade := rng.choice((0, 0, 0, *labels))] if len(labels) > 2 else (1 + k % 7) * (grade := int(k % 4 == 0))
+        for i in rng.sample(range(40), n):
+            w[i] = rng.choice(["zyxwvo", "qqpptt"])
+        docs.append((k, " ".join(w)))
+        given.append((k, grade))
+        count[k] = n
+    d, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(given[:450], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.grade(d, own).collect()}
+    held = given[450:]
+    assert sum((got[k]["p_toxic"] > 0.5) == (g > 0) for k, g in held) >= 0.98 * len(held)
+    if len(labels) > 2:
+        assert {r["grade"] for r in got.values()} <= set(labels) and sum(got[k]["grade"] == g for k, g in held) >= 0.95 * len(held)
+    by_count = {n: np.mean([got[k]["severity"] for k, _ in held if count[k] == n]) for n in {count[k] for k, _ in held}}
+    ordered = [by_count[n] for n in sorted(by_count)]
+    assert all(a <= b + 1e-9 for a, b in itertools.pairwise(ordered)) and ordered[-1] > ordered[1] > ordered[0] + 0.5
 
 
 def test_toxic_documents_are_found(spark):
@@ -351,6 +380,14 @@ def test_languages_are_found(spark):
     assert (got[got.held_out].lang_pred == got[got.held_out].lang).mean() > 0.97
 
 
+def test_no_language_is_left_out(spark):
+    """Seventy languages, each with an alphabet of its own."""
+    word = lambda k, i: "".join(chr(0x4E00 + 40 * k + (7 * i + j) % 30) for j in range(3))
+    d = spark.createDataFrame([(100 * k + i, " ".join(word(k, i + j) for j in range(8)), f"l{k:02d}") for k in range(70) for i in range(6)], "doc_id long, text string, lang string")
+    m = language_id.train(d, per_language=10, spans=400, epochs=2)
+    assert m.states == [f"l{k:02d}" for k in range(70)]
+
+
 def test_blocks_equal_one_chain():
     """Sums of posteriors over blocks against plain forward-backward."""
     rng = np.random.default_rng(12)
