@@ -9,7 +9,8 @@ with the largest posterior sum.
 Defined results: null text, or text without a letter, is `und` with score 0.
 Repeated rows get equal results; texts of any length are read whole (long
 chains are cut into blocks whose transfer matrices are multiplied, which is
-exact).  With no labelled row at all every document is `und`.
+exact).  With no labelled row at all every document is `und`.  Of equally likely
+languages the first in code-point order wins; rows with a null id are learned from.
 """
 
 from __future__ import annotations
@@ -295,15 +296,17 @@ def predictor(spark, model: ChainCRF, name: str):
     return predict.asNondeterministic()  # else a filter and a projection would each run it
 
 
-def train(docs: DataFrame, per_language: int = 150) -> ChainCRF:
-    """Fit the CRF on a bounded sample: about per_language labelled texts of each of at most 64 languages, chosen by a hash of doc_id.
+def train(docs: DataFrame, per_language: int = 150, most_rows: int = 9600, **options) -> ChainCRF:
+    """Fit the CRF on a bounded sample: about per_language labelled texts of each language, chosen by a hash of doc_id.
 
-    Rows whose crc32(doc_id) mod 3 is 1, and rows without text or language, are never learned from.
+    Every language is learned; with more than most_rows / per_language of them each has
+    fewer texts (at least about one).  Rows whose crc32(doc_id) mod 3 is 1, and rows
+    without text or language, are never learned from.
     """
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1))
-    rows = sampled_per_class(labelled, "lang", F.col("doc_id"), per_language).select("text", "lang").collect()
+    rows = sampled_per_class(labelled, "lang", F.col("doc_id"), per_language, most_rows).select("text", "lang").collect()
     rows.sort()
-    return ChainCRF.train([r["text"] for r in rows], [r["lang"] for r in rows])
+    return ChainCRF.train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
 
 def language_column(docs: DataFrame, text: Column) -> Column:
