@@ -8,15 +8,20 @@ resemblance, containment and the number of distinct shingles.
 
 Defined results: null text counts as empty; a text without words has the empty
 sketch, which resembles only another empty one (1.0); equal texts have equal
-sketches; texts with at most k distinct shingles are compared exactly.
+sketches; texts with at most k distinct shingles are compared exactly.  Repeated rows follow one
+another; a doc_id that is the least long counts as null in the order.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.shared import word_array
+from quillspan.llm.shared import cut, word_array
 
 SHINGLE, K, HEX = 5, 128, 16
 
@@ -70,53 +75,85 @@ def merged(sketches: DataFrame, group: str, column: str, k: int = K) -> DataFram
     return least.groupBy(group).agg(F.sort_array(F.collect_list("_h")).alias(column))
 
 
-def with_next(docs: DataFrame, most_cells: int = 4096, bucket_rows: int = 1024, most_buckets: int = 65536) -> DataFrame:
-    """docs (doc_id, text) in buckets by descending id, each with a guest row: the first row of the bucket after it.
+def ordered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the order of rows, descending: _key (the id; the least long for null), _hash (60 bits of the text's md5), _part (the task that read it: splits equal rows)."""
+    return _keyed(docs).withColumns({"_hash": _text_hash(), "_part": F.spark_partition_id()})
 
-    Ids are cut into cells of equal width, and a cell into as many equal parts as its
-    rows ask for, so buckets hold about bucket_rows rows (more once there are
-    most_buckets).  The last bucket's guest is the first of all.  Returns _bucket,
-    _guest, _key, doc_id, text: within a bucket, sorted by _guest, then _key
-    descending, then text, each row's successor is the next document.
-    """
-    low = -(1 << 63)
+
+def _keyed(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    a, z, n = d.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if a is None:
-        a = z = 0
-    width = (z - a) // most_cells + 1
-    cell = F.floor((F.col("doc_id") - F.lit(a)) / F.lit(width)).cast("int") if z - a < 1 << 52 else F.expr(f"cast((cast(doc_id as decimal(20)) - cast({a} as decimal(20))) div {width} as int)")
-    full = {r[0]: r[1] for r in d.filter("doc_id is not null").groupBy(cell.alias("c")).count().collect()}  # at most most_cells rows
-    rows = max(bucket_rows, -(-n // most_buckets))
-    parts = [-(-full.get(c, 0) // rows) or 1 for c in range(most_cells)]
-    first, at = [], 0
-    for p in parts:
-        first.append(at)
-        at += p
-    inside = F.col("doc_id") - F.lit(a) - F.col("_cell").cast("long") * F.lit(width)
-    part = F.floor(inside.cast("double") * F.element_at(F.array(*map(F.lit, parts)), F.col("_cell") + 1) / float(width))
-    bucket = F.element_at(F.array(*map(F.lit, first)), F.col("_cell") + 1) + F.least(part, F.element_at(F.array(*map(F.lit, parts)), F.col("_cell") + 1) - 1)
-    d = d.withColumn("_cell", cell).withColumn("_bucket", F.coalesce(bucket, F.lit(-1)).cast("int")).withColumn("_key", F.coalesce("doc_id", F.lit(low)))
-    heads = sorted((r[0], r[1]) for r in d.groupBy("_bucket").agg(F.max("_key")).collect())  # at most most_buckets + most_cells + 1 rows
-    guests = [(key, heads[(i + 1) % len(heads)][0]) for i, (_, key) in enumerate(heads)] if heads else []
-    # the head of a bucket visits the bucket above; the highest one's visits the lowest
-    visits = F.broadcast(docs.sparkSession.createDataFrame(guests, "_key long, _host int"))
-    d = d.drop("_cell").join(visits, "_key", "left")
-    own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g"))
-    guest = F.struct(F.col("_host").alias("b"), F.lit(1).alias("g"))
-    d = d.withColumn("_at", F.explode(F.when(F.col("_host").isNull(), F.array(own)).otherwise(F.array(own, guest))))
-    return d.select(F.col("_at.b").alias("_bucket"), F.col("_at.g").alias("_guest"), "_key", "doc_id", "text")
+    return d.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+
+
+def _text_hash() -> Column:
+    return F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def boundaries(places: DataFrame, rows: int, bucket_rows: int, most_buckets: int, per_bucket: int = 8) -> list[tuple[int, int, int]]:
+    """Ascending lower ends of buckets of about equal numbers of rows, for places (_key, _hash, _part, n).
+
+    Places with many rows, and about per_bucket others for each bucket, chosen by
+    hash, stand for all; they only decide how rows are dealt out.
+    """
+    buckets = max(1, min(most_buckets, -(-rows // bucket_rows)))
+    if buckets == 1:
+        return []
+    heavy = max(1, rows // (buckets * per_bucket))
+    rate = min(1.0, 1.0 * buckets * per_bucket / rows)
+    share = F.pmod(F.xxhash64("_key", "_hash", "_part"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = places.filter((F.col("n") >= heavy) | (share < rate)).withColumn("w", F.when(F.col("n") >= heavy, F.col("n")).otherwise(F.col("n") / rate)).toArrow()
+    key, part, text, weight = (chosen[c].to_numpy() for c in ("_key", "_part", "_hash", "w"))
+    order = np.lexsort((part, text, key))
+    until = np.cumsum(weight[order]) - weight[order]
+    nth = np.floor(until * (buckets / max(1.0, float(weight.sum())))).astype(np.int64)
+    first = order[np.flatnonzero(np.diff(nth, prepend=0) > 0)]
+    return list(zip(key[first].tolist(), text[first].tolist(), part[first].tolist(), strict=True))
+
+
+def bucket_of(ends: list[tuple[int, int, int]]) -> Column:
+    """The number of lower ends up to a row's place, found in two steps of the square root of their number."""
+    if not ends:
+        return F.lit(0)
+    place = F.struct(F.col("_key").alias("k"), F.col("_hash").alias("h"), F.col("_part").alias("p"))
+    wide = math.isqrt(len(ends)) + 1
+    stated = lambda some: F.from_json(F.lit(json.dumps([dict(zip("khp", e, strict=True)) for e in some])), "array<struct<k:bigint,h:bigint,p:int>>")
+    below = lambda a: F.size(F.filter(a, lambda e: e <= place))
+    coarse = below(stated(ends[::wide]))
+    fine = below(F.slice(stated(ends), (F.greatest(coarse, F.lit(1)) - 1) * wide + 1, wide))
+    return (F.greatest(coarse, F.lit(1)) - 1) * wide + fine
+
+
+def with_next(docs: DataFrame, bucket_rows: int = 1024, most_buckets: int = 65536) -> DataFrame:
+    """docs (doc_id, text) in buckets of the descending order, each with a guest: the first row of the bucket after it.
+
+    Buckets hold about equal numbers of rows wherever the ids lie, bucket_rows (more
+    once there are most_buckets); rows with one id are split by their text, equal rows by the task
+    that read them.  The last bucket's guest is the first row of all.  Returns _bucket,
+    _guest, _key, _hash, _part, doc_id, text: within a bucket, sorted by _guest, then the order,
+    then text, each row's successor is the next document.
+    """
+    d = ordered(docs)
+    places = cut(d.groupBy("_key", "_hash", "_part").agg(F.count(F.lit(1)).alias("n")), "places")
+    rows = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bucket = bucket_of(boundaries(places, rows, bucket_rows, most_buckets)).alias("_bucket")
+    own = d.select(bucket, F.lit(0).alias("_guest"), "_key", "_hash", "_part", "doc_id", "text")
+    # at most most_buckets + 1 rows: the head of a bucket visits the bucket above, the highest one's visits the lowest
+    heads = sorted((r[0], r[1]["k"], r[1]["h"]) for r in places.groupBy(bucket).agg(F.max(F.struct(F.col("_key").alias("k"), F.col("_hash").alias("h")))).collect())
+    visits = docs.sparkSession.createDataFrame([(k, h, heads[(i + 1) % len(heads)][0]) for i, (_, k, h) in enumerate(heads)], "_key long, _hash long, _bucket int")
+    # texts are hashed only where the id is a head's
+    guests = _keyed(docs).join(F.broadcast(visits), "_key").filter(_text_hash() == F.col("_hash")).groupBy("_bucket").agg(F.min("text").alias("text"))
+    return own.unionByName(guests.select("_bucket", F.lit(1).alias("_guest"), "text"), allowMissingColumns=True)
 
 
 def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of the rows of docs (doc_id, text) and of their edited texts.
 
     Edited: the last floor(n/2) code points are replaced by the first as many of the
-    next document by descending id (null ids last; equal ids by text; after the last
-    comes the first).  Columns: doc_id, n_chars, edited_sha256, fingerprint,
+    next document by descending id (null ids last; equal ids by descending md5 of the
+    text, of which 60 bits count, then by text; after the last comes the first).  Columns: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, distinct_shingles.
     """
-    order = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_key"), "text")
+    order = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_key"), F.desc("_hash"), F.desc("_part"), "text")
     # the texts move alone: a sketch made before would nearly double what is shuffled
     d = with_next(docs).repartition("_bucket").withColumn("_sketch", sketch(F.col("text"), k))
     d = d.withColumn("_next", F.lead("text").over(order)).withColumn("_next_sketch", F.lead("_sketch").over(order)).filter("_guest = 0")

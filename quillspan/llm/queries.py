@@ -124,7 +124,7 @@ def _near_sql(a: str, b: str) -> str:
 
 
 ORACLES["op9_fingerprints"] = f"""
-with d as materialized (select row_number() over (order by doc_id desc nulls last, text) as nth, count(*) over () as n, doc_id, coalesce(text, '') as text, {_words_sql("coalesce(text, '')")} as words from documents),
+with d as materialized (select row_number() over (order by doc_id desc nulls last, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint desc, text) as nth, count(*) over () as n, doc_id, coalesce(text, '') as text, {_words_sql("coalesce(text, '')")} as words from documents),
 t as materialized ({_sketches_sql("words", "d")}),
 e as materialized (select a.nth, a.doc_id, b.nth as nth_next, length(a.text) as n_chars, edited, {_words_sql("edited")} as words
       from d a join d b on b.nth = a.nth % a.n + 1, lateral (select substr(a.text, 1, length(a.text) - length(a.text) // 2) || substr(b.text, 1, length(a.text) // 2) as edited)),

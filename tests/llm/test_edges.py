@@ -1,10 +1,15 @@
 """Nulls, empty and long texts, ties and repeated rows, empty tables, clashing extra columns: each operator's defined results."""
 
+import hashlib
+import uuid
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspan.llm import fingerprints, language_id, lattice, lm_scores, minhash, mixing, packing, queries, token_counts, toxicity, url_filter
+from quillspan.llm.shared import scratch_dir
 
 LONG = "word of a very long text " * 40_000
 TEXTS = [
@@ -165,7 +170,33 @@ def test_fingerprints(docs, none, spark):
     assert len(by[6]["fingerprint"]) <= fingerprints.K * fingerprints.HEX
     assert rows(fingerprints.fingerprint(none)) == []
     alone = rows(fingerprints.fingerprint(docs.filter("doc_id = 10")))
-    assert alone[0]["near_next"] == alone[0]["near_edited"] == 1.0 or alone[0]["n_chars"] == 3
+    # its next is itself: "one" without its last letter, and the first letter again
+    assert len(alone) == 1 and (alone[0]["n_chars"], alone[0]["near_next"], alone[0]["near_edited"]) == (3, 1.0, 0.0)
+    assert alone[0]["edited_sha256"] == hashlib.sha256(b"ono").hexdigest()
+
+
+def test_fingerprint_buckets(spark):
+    """An outlying id, many null ids, one id and one row repeated: buckets stay even, and every row's next is right."""
+    texts = [(i, f"text {i}") for i in range(2000)] + [(1 << 60, "far")] + [(None, f"null {i % 300}") for i in range(900)] + [(77, f"of one id {i}") for i in range(900)] + [(78, "same row")] * 900
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(16)
+    d = d.sparkSession.read.schema(d.schema).parquet(_written(d))
+    placed = fingerprints.with_next(d, bucket_rows=100)
+    sizes = [r["count"] for r in placed.groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 400 and len(sizes) >= 25
+    assert [r["n"] for r in placed.filter("_guest = 1").groupBy("_bucket").agg(F.count("*").alias("n")).collect()] == [1] * len(sizes)
+    low = -(1 << 63)
+    order = sorted(texts, key=lambda r: (-(low if r[0] is None else r[0]), -int(hashlib.md5(r[1].encode()).hexdigest()[:15], 16), r[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprint(d).collect()) == want
+
+
+def _written(df):
+    path = f"{scratch_dir(df.sparkSession)}/test-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
 
 
 def test_languages(docs, none):
