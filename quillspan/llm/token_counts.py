@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quillspan.llm.shared import cut, scratch_dir, words_of
+from quillspan.llm.shared import cut, same_keys, scratch_dir, words_of
 from quillspan.llm.subwords import ids_of
 
 #: Tokenizers by version: text -> number of tokens.  A change of rules gets a new version.
@@ -32,6 +32,8 @@ TOKENIZERS = {
     "byte_bpe_50k@1": lambda t: len(ids_of(t)),
     "words@1": lambda t: len(words_of(t)),
 }
+#: What documents are first counted by, before their counts are revised: words between blanks of any kind.
+FIRST = "words@0"
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -40,7 +42,7 @@ def counted(docs: DataFrame, versions: list[str]) -> DataFrame:
 
     @pandas_udf("array<long>")
     def count(texts: pd.Series) -> pd.Series:
-        own = [TOKENIZERS[v] for v in versions]
+        own = [{FIRST: lambda t: len(t.split()), **TOKENIZERS}[v] for v in versions]
         return pd.Series([[f(t) if t else 0 for f in own] for t in texts], dtype=object)
 
     return docs.withColumn("counts", F.map_from_arrays(F.array(*map(F.lit, versions)), count("text")))
@@ -80,13 +82,15 @@ class TokenRollup:
         names = [f.getPath().getName() for f in self._files.listStatus(self._path(self.root)) if f.isDirectory()]
         return sorted(n for n in names if self._files.exists(self._path(f"{self.root}/{n}/_SUCCESS")))
 
-    def _merged(self) -> set[str]:
-        """Ids of batches that a compaction holds."""
+    def _among(self, batches: list[str]) -> set[str]:
+        """Those of some batch ids that a compaction holds; the list of all ids stays where it is."""
         found = [f"{self.root}/{n}" for n in self._folders() if n.startswith("ids-")]
-        return {r[0] for r in self.spark.read.schema("id string").parquet(*found).distinct().collect()} if found else set()
+        if not found or not batches:
+            return set()
+        return {r[0] for r in self.spark.read.schema("id string").parquet(*found).filter(F.col("id").isin(batches)).distinct().collect()}
 
     def committed(self, batch: str) -> bool:
-        return self._files.exists(self._path(self._at(batch) + "/_SUCCESS")) or batch in self._merged()
+        return self._files.exists(self._path(self._at(batch) + "/_SUCCESS")) or bool(self._among([batch]))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False if that id is in already."""
@@ -97,9 +101,11 @@ class TokenRollup:
 
     def _live(self) -> list[str]:
         """The newest compaction, and the batches that it doesn't hold."""
-        names, merged = self._folders(), self._merged()
+        names = self._folders()
         sums = [n for n in names if n.startswith("sums-") and f"ids-{n[5:]}" in names]
-        return [f"{self.root}/{n}" for n in sums[-1:] + [n for n in names if n.startswith("batch=") and n[6:] not in merged]]
+        batches = [n[6:] for n in names if n.startswith("batch=")]
+        merged = self._among(batches)
+        return [f"{self.root}/{n}" for n in sums[-1:]] + [self._at(b) for b in batches if b not in merged]
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all that is committed."""
@@ -108,30 +114,47 @@ class TokenRollup:
         return rows.groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self) -> None:
-        """Fold everything into one set of sums; its list of ids, written last, makes it count."""
-        names = [n for n in self._folders() if n.startswith(("ids-", "sums-"))]
-        number = f"{1 + max([0, *(int(n.rpartition('-')[2]) for n in names)]):012d}"
-        ids = self._merged() | {n[6:] for n in self._folders() if n.startswith("batch=")}
+        """Fold everything into one set of sums; its list of ids, written last, makes it count.  Then the folded batches go."""
+        names = self._folders()
+        old = [n for n in names if n.startswith(("ids-", "sums-"))]
+        number = f"{1 + max([0, *(int(n.rpartition('-')[2]) for n in old)]):012d}"
+        batches = [n[6:] for n in names if n.startswith("batch=")]
+        merged = self._among(batches)
         self.totals().filter("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{self.root}/sums-{number}")
-        self.spark.createDataFrame([(i,) for i in sorted(ids)], "id string").write.mode("overwrite").parquet(f"{self.root}/ids-{number}")
+        new = [(b,) for b in batches if b not in merged]
+        self.spark.createDataFrame(new, "id string").write.mode("overwrite").parquet(f"{self.root}/ids-{number}")
+        for b in batches:
+            self._files.delete(self._path(self._at(b)), True)
 
 
 def maintained(docs: DataFrame, versions: list[str] | None = None) -> DataFrame:
-    """Totals of docs (doc_id, text, lang, source) without exact copies, kept by deltas.
+    """Totals of docs (doc_id, text, lang, source), kept by deltas: source, lang, tokenizer, n_docs, n_tokens, n_own_docs, n_own_tokens.
 
-    Batch `load` inserts every document; batch `copies` deletes each document whose
-    text a smaller id has too, from the counts that were recorded for it; a replay of
-    `load` changes nothing.  Documents without text, or without an id, stay.
+    n_docs and n_tokens cover every row.  n_own_docs and n_own_tokens leave out exact
+    copies: rows whose text a row with a smaller id has too.
+
+    Batch `load` inserts every document, with counts by the blank rules of `words@0`.
+    Batch `words@1` revises each document's counts to the tokenizers of `versions`:
+    what `words@0` counted is taken back, and its groups, all zero then, go.  A
+    replay of `load` changes nothing.  Batch `copies` deletes the copies, from the
+    counts recorded for them.  Documents without text or id have no copies.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", "text", "lang", "source")
-    ledger = cut(counted(d, versions or sorted(TOKENIZERS)).withColumn("digest", F.sha2("text", 256)).drop("text"), "ledger")
+    versions = versions or sorted(TOKENIZERS)
+    counts = counted(d, [FIRST, *versions]).withColumn("digest", F.sha2("text", 256)).drop("text")
+    ledger = cut(counts, "ledger")
     rollup = TokenRollup(spark, f"{scratch_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
-    none = [F.lit(None).cast("string").alias("old_source"), F.lit(None).cast("string").alias("old_lang"), F.lit(None).cast("map<string,bigint>").alias("old_counts")]
-    load = ledger.select(F.lit("insert").alias("op"), "source", "lang", "counts", *none)
+    none = "cast(null as string) {0}source", "cast(null as string) {0}lang", "cast(null as map<string,bigint>) {0}counts"
+    first_counts, later = f"map('{FIRST}', counts['{FIRST}'])", f"map_filter(counts, (k, v) -> k <> '{FIRST}')"
+    load = ledger.selectExpr("'insert' op", "source", "lang", f"{first_counts} counts", *[n.format("old_") for n in none])
     rollup.commit("load", load)
-    first = ledger.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    copies = ledger.join(first, "digest").filter("doc_id > first_id")
-    rollup.commit("copies", copies.selectExpr("'delete' op", "cast(null as string) source", "cast(null as string) lang", "cast(null as map<string,bigint>) counts", "source old_source", "lang old_lang", "counts old_counts"))
+    rollup.commit("words@1", ledger.selectExpr("'revise' op", "source", "lang", f"{later} counts", "source old_source", "lang old_lang", f"{first_counts} old_counts"))
     rollup.commit("load", load)
-    return rollup.totals()
+    every = cut(rollup.totals(), "totals")
+    # texts that more than one row has, with their least id; sums are made before rows with one text meet
+    copied = ledger.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    copies = ledger.join(copied, "digest").filter("doc_id > first_id")
+    rollup.commit("copies", copies.selectExpr("'delete' op", *[n.format("") for n in none], "source old_source", "lang old_lang", f"{later} old_counts"))
+    own = rollup.totals().withColumnsRenamed({"n_docs": "n_own_docs", "n_tokens": "n_own_tokens"})
+    return same_keys(every, own, ["source", "lang", "tokenizer"]).filter(F.col("tokenizer") != FIRST)
