@@ -3,8 +3,8 @@
 1. A document's size is its number of words.  Sources weigh 1, 2, 3, 1, 2, 3, ...
    in code-point order (null last) and share all words; a target stops at
    `most_repeats` times its source's size, and the excess goes to the others.
-2. Each source's documents fall into shards of about `shard_words` words by md5
-   of their id, and lie in each shard in md5 order, as one stream of words cut
+2. Each source's documents fall into shards of about `shard_words` words (a
+   document counts as one more) by md5 of their id and text, and lie in each shard in md5 order, as one stream of words cut
    into blocks of `block_words`.
 3. Sources get whole blocks by highest quotients v / (2s + 1), and each source's
    blocks go to its shards in the same way.  Where only a bounded range of seats
@@ -33,8 +33,9 @@ SEED = "mix-1"
 BLOCK_WORDS, SHARD_WORDS, MOST_REPEATS = 64, 2_000_000, 3
 
 
-def digest(seed: str, column: Column) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(column.cast("string"), F.lit("null"))).cast("binary"))
+def digest(seed: str, doc_id: Column, text: Column) -> Column:
+    """The text counts too: rows with one id, or without one, spread."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
 
 def hashed(text: Column) -> Column:
@@ -43,14 +44,14 @@ def hashed(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, most_repeats: int = MOST_REPEATS) -> DataFrame:
-    """One row per source: source, source_size, target.
+    """One row per source: source, source_size, source_rows, target.
 
     The capped shares are min(cap, weight * level) for one level: with sources in
     order of cap / weight, the first k are at their caps for the least k for which
     the others, sharing what is left, are below theirs.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     s = s.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("double")).withColumn("cap", (most_repeats * F.col("source_size")).cast("double"))
     by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary"))
     every = Window.partitionBy()
@@ -59,7 +60,7 @@ def targets(sizes: DataFrame, most_repeats: int = MOST_REPEATS) -> DataFrame:
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     s = s.withColumn("open", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))
     s = s.withColumn("first_open", F.first("open", ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("first_open") * F.col("weight"), F.col("cap"))).alias("target"))
+    return s.select("source", "source_size", "source_rows", F.least(F.col("cap"), F.coalesce(F.col("first_open") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def sainte_lague(parties: DataFrame, group: list[str], tie: list[Column]) -> DataFrame:
@@ -83,17 +84,17 @@ def sainte_lague(parties: DataFrame, group: list[str], tie: list[Column]) -> Dat
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, most_repeats: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """One row for each row of docs (doc_id, text, source): doc_id, size, source_size, target, taken."""
-    return mix_sizes(cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes"), block_words, shard_words, most_repeats, seed)
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest(seed, F.col("doc_id"), F.col("text")).alias("digest"))
+    return mix_sizes(cut(sizes, "mix-sizes"), block_words, shard_words, most_repeats, seed).drop("digest")
 
 
 def mix_sizes(sizes: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, most_repeats: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
-    """mix() for rows that have their sizes: other columns are carried along (none may begin with an underscore)."""
+    """mix() for rows that have their sizes and digests: other columns are carried along (none may begin with an underscore)."""
     carried = [c for c in sizes.columns if c not in ("source", "size")]
-    by_source = targets(sizes, most_repeats).withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
-    d = sizes.withColumn("_digest", digest(seed, F.col("doc_id")))
-    placed = same_keys(d, by_source, ["source"], "left").withColumn("_shard", F.pmod(hashed(F.col("_digest")), F.col("_shards"))).drop("_shards")
+    by_source = targets(sizes, most_repeats).withColumn("_shards", F.greatest(F.lit(1), F.ceil((F.col("source_size") + F.col("source_rows")) / shard_words)).cast("long")).drop("source_rows")
+    placed = same_keys(sizes, by_source, ["source"], "left").withColumn("_shard", F.pmod(hashed(F.col("digest")), F.col("_shards"))).drop("_shards")
     inside = Window.partitionBy("source", "_shard")
-    placed = placed.withColumn("_start", F.sum("size").over(inside.orderBy(F.substring("_digest", 9, 24), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+    placed = placed.withColumn("_start", F.sum("size").over(inside.orderBy(F.substring("digest", 9, 24), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("_words"))
     # blocks of each source, of all that the targets add up to
     house = by_source.select("source", F.col("target").alias("votes"), F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long").alias("house"))
@@ -128,13 +129,13 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words
 
     The sizes alone are mixed; the texts move once, to their rows' decisions.  Equal rows share theirs out.
     """
-    names = docs.columns
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("doc_id", "text")})
-    sizes = cut(keyed.select("doc_id", "source", F.col("_id").alias("row_id"), F.col("_hash").alias("row_hash"), word_count(F.col("text")).alias("size")), "mix-sizes")
-    found = mix_sizes(sizes, block_words, shard_words, most_repeats, seed).filter("taken > 0")
+    # the row travels as one column, so that no name of it can clash
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.xxhash64("doc_id", "text").alias("_hash"), "doc_id", "source", "text", F.struct("*").alias("_row"))
+    sizes = keyed.select("doc_id", "source", F.col("_id").alias("row_id"), F.col("_hash").alias("row_hash"), word_count(F.col("text")).alias("size"), digest(seed, F.col("doc_id"), F.col("text")).alias("digest"))
+    found = mix_sizes(cut(sizes, "mix-sizes"), block_words, shard_words, most_repeats, seed).filter("taken > 0")
     found = found.select(F.col("row_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    rows = keyed.withColumn("_nth", nth).join(found.withColumn("_nth", nth), ["_id", "_hash", "_nth"])
-    rows = rows.withColumn("_text", F.explode(taken_texts(F.col("text"), F.col("_size"), F.col("_taken"))))
+    rows = keyed.select("_id", "_hash", "_row").withColumn("_nth", nth).join(found.withColumn("_nth", nth), ["_id", "_hash", "_nth"])
+    rows = rows.withColumn("_text", F.explode(taken_texts(F.col("_row.text"), F.col("_size"), F.col("_taken"))))
     changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return rows.select(*[changed[c].alias(c) if c in changed else rows[c] for c in names])
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -63,9 +63,9 @@ ORACLES["op4_source_mixing"] = f"""
 with d as (
   select row_number() over () as r, doc_id, source,
          len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::bigint as size,
-         md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), 'null')) as h
+         md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, ''))) as h
   from documents),
-s0 as (select source, sum(size)::bigint as source_size from d group by source),
+s0 as (select source, sum(size)::bigint as source_size, count(*) as source_rows from d group by source),
 s1 as (select *, ((row_number() over (order by source is null, source) - 1) % 3 + 1)::double as weight, ({mixing.MOST_REPEATS} * source_size)::double as cap from s0),
 s2 as (select *, (sum(source_size) over ())::double as total, sum(weight) over () as weights,
               coalesce(sum(cap) over w, 0) as caps_before, coalesce(sum(weight) over w, 0) as weights_before,
@@ -73,7 +73,7 @@ s2 as (select *, (sum(source_size) over ())::double as total, sum(weight) over (
        from s1 window w as (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding)),
 s3 as (select *, (total - caps_before) / (weights - weights_before) as level from s2),
 s as (select source, source_size, least(cap, coalesce((select arg_min(level, nth) from s3 where level * weight <= cap) * weight, cap)) as target,
-             greatest(1, ceil(source_size / {mixing.SHARD_WORDS}.0))::bigint as shards from s3),
+             greatest(1, ceil((source_size + source_rows) / {mixing.SHARD_WORDS}.0))::bigint as shards from s3),
 placed as (select d.*, s.source_size, s.target, (('0x' || substr(h, 1, 8))::bigint % s.shards) as shard from d join s on d.source is not distinct from s.source),
 laid as (select *, (sum(size) over (partition by source, shard order by substr(h, 9, 24), doc_id, size, r rows unbounded preceding))::bigint - size as start from placed),
 sh as (select source, shard, sum(size)::bigint as words from placed group by all),

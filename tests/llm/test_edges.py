@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties and repeated rows, empty tables, clashing extra columns: each operator's defined results."""
 
 import hashlib
+import random
 import uuid
 from collections import Counter
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspan.llm import fingerprints, language_id, lattice, lm_scores, minhash, mixing, packing, queries, token_counts, toxicity, url_filter
-from quillspan.llm.shared import scratch_dir
+from quillspan.llm.shared import cut, scratch_dir
 
 LONG = "word of a very long text " * 40_000
 TEXTS = [
@@ -27,7 +28,7 @@ TEXTS = [
     (11, "ein", "de", "c"),
     (12, "\u00a0é\x1c word\x85 end", "fr", "c"),
 ]
-CLASHING = "size score words key node taken target n row_id digest held_out component _bucket _digest rank count".split()
+CLASHING = "size score words key node taken target n row_id digest held_out component _bucket _digest _id _hash _p _row _n rank count".split()
 
 
 def documents(spark, rows=TEXTS):
@@ -54,10 +55,12 @@ def rows(df):
 
 
 def test_token_counts(docs, none):
-    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rows(token_counts.maintained(docs))}
-    assert got["a", "en", "words@1"] == (2, 12)  # the copies with larger ids are gone
-    assert got[None, "en", "words@1"] == (1, 0)
-    assert got["b", "en", "words@1"] == (1, 240_000)
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"], r["n_own_docs"], r["n_own_tokens"]) for r in rows(token_counts.maintained(docs))}
+    assert got["a", "en", "words@1"] == (4, 36, 2, 12)  # the copies with larger ids aren't texts of their own
+    assert got[None, "en", "words@1"] == (1, 0, 1, 0)
+    assert got["b", "en", "words@1"] == (1, 240_000, 1, 240_000)
+    assert got["c", "fr", "words@1"] == (1, 3, 1, 3)  # four words by other blanks: revised
+    assert {t for *_, t in got} == set(token_counts.TOKENIZERS)
     assert rows(token_counts.maintained(none)) == []
 
 
@@ -96,6 +99,7 @@ def test_mixing(docs, none):
     assert rows(mixing.mix(none)) == []
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
+    assert all(r[c] == "x" for r in rows(out) for c in CLASHING)
     words = lambda t: len(queries.packing.encode(t)) and len([w for w in t.split() if w])
     assert sum(words(r["text"]) for r in rows(out)) == sum(r["taken"] for r in got)
     assert rows(mixing.mixed_documents(none)) == []
@@ -119,6 +123,7 @@ def test_near_copies(docs, none):
         assert (by[i]["class_id"], by[i]["kept"]) == (i, True)
     assert rows(minhash.classes(none)) == []
     kept = minhash.deduplicated(docs)
+    assert all(r[c] == "x" for r in rows(kept) for c in CLASHING)
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in rows(kept)) == [0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 12]
     assert rows(minhash.deduplicated(none)) == []
 
@@ -215,7 +220,47 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES:
         for given in (docs, none):
-            given = given.select("doc_id", "text", "lang", "source", "n_chars", "held_out")
             out = stage(spark, given, str(tmp_path))
             assert name == "packing" or out.columns == given.columns
-            out.collect()
+            found = rows(out)
+            assert name == "packing" or all(r[c] == "x" for r in found for c in CLASHING)
+            assert given is docs or found == []
+
+
+def test_pipeline_decides(spark, tmp_path):
+    """What each stage keeps of a small corpus, and the ids that come out, counted by hand."""
+    en, de = "the and of with this that have from they would there their what about which when make like time just".split(), "der die und ist nicht ein auf mit sich auch nach werden aus durch bei oder wenn noch wie einem".split()
+    rng = random.Random(21)
+    text = lambda words, n=60: " ".join(rng.choice(words) + rng.choice(("", "", "en", "er")) for _ in range(n))
+    made = [(i, text(en if i % 2 else de), "en" if i % 2 else "de", f"s{i % 3}", int(i % 5 == 0)) for i in range(200)]
+    made = [(i, t + " blarg snazzle frotz" * (1 + i % 3) if toxic else t, lang, s, toxic) for i, t, lang, s, toxic in made]
+    copies = [(1000 + i, made[i][1] + " end", made[i][2], "s1", 0) for i in (1, 2, 3)] + [(2000, made[1][1], "en", "s2", 0)]
+    junk = [(3000 + k, t, "en", "s0", 0) for k, t in enumerate(("", "123 456 !!!", None))]
+    d = documents(spark, [r[:4] for r in made + copies + junk])
+    spark.createDataFrame([(r[0], 1, r[4]) for r in made], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    kept, at = {r[0] for r in made + copies}, {}
+    given = d
+    for name, stage in corpus_pipeline.STAGES:
+        given = cut(stage(spark, given, str(tmp_path)), name)
+        at[name] = rows(given)
+    ids = lambda name: {r["doc_id"] for r in at[name]}
+    assert ids("language_id") == kept
+    kept -= {r[0] for r in made if r[4]}
+    assert ids("toxicity") == kept
+    kept -= {1001, 1002, 1003, 2000}
+    assert ids("near_copies") == kept and len(at["near_copies"]) == len(kept)
+    # the mix: each source's words are those of its target, cut off or repeated at most three times
+    size = Counter({s: 0 for s in ("s0", "s1", "s2")})
+    for r in at["near_copies"]:
+        size[r["source"]] += len(r["text"].split())
+    taken, target = Counter(), {r["source"]: r["target"] for r in rows(mixing.targets(spark.createDataFrame([(s, n) for s, n in size.items()], "source string, size long")))}
+    for r in at["mixing"]:
+        taken[r["source"]] += len(r["text"].split())
+        assert any(x["doc_id"] == r["doc_id"] and x["text"].startswith(r["text"]) for x in at["near_copies"])
+    assert all(abs(taken[s] - target[s]) <= 64 for s in size)
+    whole = sum(len(packing.encode(r["text"])) + 1 for r in at["mixing"])
+    assert sum(r["length"] for r in at["packing"]) == whole and ids("packing") == ids("mixing")
+    run = rows(corpus_pipeline.run(spark, str(tmp_path)))
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, run)) == sorted(map(key, at["packing"]))

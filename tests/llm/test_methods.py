@@ -61,6 +61,22 @@ def test_rollup_commits_once(spark, tmp_path):
         roll.commit("bad", make([("upsert", "a", "en", {"w": 1}, None, None, None)]))
 
 
+def test_token_counts_of_a_whole_table(spark):
+    """Every total recounted with `tokenizers` and a plain split, copies told by equal texts."""
+    d = table(spark, "documents")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want: dict = {}
+    docs = sorted(((r["doc_id"], r["text"] or "", r["source"], r["lang"]) for r in d.collect()))
+    first = {}
+    for i, text, source, lang in docs:
+        own = first.setdefault(text, i) == i
+        for name, n in (("byte_bpe_50k@1", len(t.encode(text, add_special_tokens=False).ids)), ("words@1", len(words_of(text)))):
+            at = want.setdefault((source, lang, name), [0, 0, 0, 0])
+            want[source, lang, name] = [at[0] + 1, at[1] + n, at[2] + own, at[3] + own * n]
+    got = {(r["source"], r["lang"], r["tokenizer"]): [r["n_docs"], r["n_tokens"], r["n_own_docs"], r["n_own_tokens"]] for r in token_counts.maintained(d).collect()}
+    assert got == want and len(first) < len(docs)
+
+
 def small_model():
     texts = ["the cat sat on the mat", "a dog and a cat", "the the the", "zebra crossing"] * 5
     hot = Counter(w for t in texts for w in t.split())
