@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import language_id, minhash, mixing, packing, toxicity
-from quillspan.llm.shared import cut
+from quillspan.llm.shared import cut, drop_scratch, scratch_mark
 
 #: A document goes if less than this share of its words is in one language, or if it is more likely toxic than not.
 LEAST_LANGUAGE, MOST_TOXIC = 0.4, 0.5
@@ -18,16 +18,17 @@ LEAST_LANGUAGE, MOST_TOXIC = 0.4, 0.5
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents in no language, and without those that no language has LEAST_LANGUAGE of; a missing lang is filled in."""
-    found = docs.withColumn("_p", language_id.language_column(docs, F.col("text")))
+    # the row travels as one column, so that no name of it can clash
+    found = docs.select(F.struct("*").alias("_row"), language_id.language_column(docs, F.col("text")).alias("_p"))
     found = found.filter((F.col("_p.lang") != language_id.UNDETERMINED) & (F.col("_p.score") >= LEAST_LANGUAGE))
-    return found.withColumn("lang", F.coalesce("lang", "_p.lang")).select(docs.columns)
+    return found.select(F.col("_row").withField("lang", F.coalesce("_row.lang", "_p.lang")).alias("_row")).select("_row.*")
 
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that are toxic by the model of the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = docs.withColumn("_p", toxicity.toxicity_column(docs, labels, F.col("text")))
-    return found.filter(F.col("_p.p_toxic") <= MOST_TOXIC).select(docs.columns)
+    found = docs.select(F.struct("*").alias("_row"), toxicity.toxicity_column(docs, labels, F.col("text")).alias("_p"))
+    return found.filter(F.col("_p.p_toxic") <= MOST_TOXIC).select("_row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; once a stage's rows are written, the scratch tables that it used go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        mark = scratch_mark()
         docs = cut(stage(spark, docs, sf_dir), name)
+        drop_scratch(spark, mark, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
