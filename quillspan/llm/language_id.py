@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quillspan.llm.shared import WordTable, chunks_of, id_remainder, sampled_per_class
+from quillspan.llm.shared import WordTable, chunks_of, id_remainder, kept, sampled_per_class
 
 UNDETERMINED = "und"
 BLOCK = 128
@@ -263,20 +263,13 @@ class ChainCRF:
         return out
 
 
-_TABLES: dict[str, tuple[ChainCRF, WordTable]] = {}
-
-
 def predictor(spark, model: ChainCRF, name: str):
     """A column function text -> struct<lang, score>; the model is broadcast (its size is bounded by the training sample)."""
     shared = spark.sparkContext.broadcast(model)
 
     @pandas_udf("struct<lang:string,score:double>")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if name not in _TABLES:
-            crf = shared.value
-            _TABLES.clear()
-            _TABLES[name] = crf, WordTable(crf.word_rows)
-        crf, table = _TABLES[name]
+        crf, table = kept(name, lambda: (shared.value, WordTable(shared.value.word_rows)))
         langs, scores = [], []
         for _, words, counts in chunks_of(texts, 120_000, str.split):
             if crf.states:

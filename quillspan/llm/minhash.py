@@ -41,7 +41,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from quillspan.llm.components import connected_components
-from quillspan.llm.shared import WordTable, chunks_of, cut, grouped, words_of
+from quillspan.llm.shared import WordTable, chunks_of, cut, grouped, kept, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK_ROWS = 5, 0.8, 32, 5, 500
 #: Pairs whose signatures agree less than this much below the threshold are not verified: five standard deviations.
@@ -135,7 +135,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        table = WordTable(word_hashes)
+        table = kept("word-hashes", lambda: WordTable(word_hashes))
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].to_pylist()
             at = 0

@@ -159,6 +159,17 @@ class WordTable:
         return self.rows[at] if self.rows is not None else self.make([])
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What a Python worker keeps between tasks of one job: one thing at a time, made anew for another name."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def chunks_of(texts: Iterable[str | None], most_words: int = 500_000, split: Callable[[str], list[str]] = words_of):
     """Yield (number of texts, words of all, words per text) for runs of whole texts of about most_words words."""
     words: list[str] = []

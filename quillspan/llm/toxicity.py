@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quillspan.llm.language_id import bare
-from quillspan.llm.shared import WordTable, chunks_of, cut, sampled_per_class
+from quillspan.llm.shared import WordTable, chunks_of, cut, kept, sampled_per_class
 
 PIECE = 5
 
@@ -164,19 +164,13 @@ def marked(sample: DataFrame, markers: list[str], by_fold: list[list[str]]) -> D
     return sample.mapInArrow(mark, "toxic int, hits long, cols array<int>")
 
 
-_TABLES: dict[str, tuple[OrdinalModel, WordTable]] = {}
-
-
 def predictor(spark, model: OrdinalModel):
     """A column function text -> struct<grade, severity, p_toxic>."""
     shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @pandas_udf("struct<grade:int,severity:double,p_toxic:double>")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[name] = shared.value, WordTable(shared.value.word_rows)
-        own, table = _TABLES[name]
+        own, table = kept(name, lambda: (shared.value, WordTable(shared.value.word_rows)))
         parts = []
         for _, words, counts in chunks_of(texts, 120_000, str.split):
             scores = np.zeros(len(counts))

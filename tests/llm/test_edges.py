@@ -65,7 +65,7 @@ def test_token_counts(docs, none):
 
 
 def test_lm_scores(docs, none):
-    got = rows(lm_scores.score(docs, steps=3))
+    got = rows(lm_scores.score(docs, least_windows=50))
     assert len(got) == len(TEXTS)
     by = {r["doc_id"]: r for r in got}
     assert by[3]["n_tokens"] == by[4]["n_tokens"] == by[5]["n_tokens"] == 1
@@ -73,7 +73,7 @@ def test_lm_scores(docs, none):
     assert by[6]["n_tokens"] == 240_001 and by[12]["n_tokens"] == 4
     assert by[None]["held_out"] is False
     assert all(r["score"] < 0 and r["base_score"] < 0 for r in got)
-    assert rows(lm_scores.score(none, steps=2)) == []
+    assert rows(lm_scores.score(none)) == []
 
 
 def test_embeddings(spark):

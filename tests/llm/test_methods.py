@@ -86,7 +86,8 @@ def small_model():
     keys = np.unique(lm_scores.contexts_of(*voc.spell(sorted(hot)))[0])
     corpus = rng.normal(size=(lm_scores.CLASSES, len(keys) + 2, member)).astype(np.float32)
     m = lm_scores.Model(voc, keys, corpus, np.log(np.exp(corpus).sum(axis=2)).T.copy(), member)
-    m.train(texts, steps=5, batch=8)
+    m.begin()
+    m.train(m.windows([(t, True, True) for t in texts]), batch=8)
     return m, texts
 
 
@@ -120,33 +121,88 @@ def test_words_are_spelt_alike_alone_and_together():
         numbers, sizes = m.vocabulary.spell(own)
         alone = [m.vocabulary.spell([w]) for w in own]
         assert numbers.tolist() == [n for a, _ in alone for n in a] and sizes.tolist() == [int(s[0]) for _, s in alone]
-    memo = lm_scores.Memo(m, {"the": -1.0}, limit=3)
+    memo = lm_scores.Memo(m, {"the": 7}, limit=3)
     for own in (words, words[:2], ["new", "the"], words):
         place = memo.places(own)
         assert memo.codes(place).tolist() == m.coded(own)[0].tolist()
-        assert [c == -1.0 for c in memo.chances[place]] == [w == "the" for w in own]
+        assert [c == 7 for c in memo.counts[place]] == [w == "the" for w in own]
 
 
 def test_training_gradients():
-    """Loss falls on what it learns from."""
+    """Slopes against differences, and loss falls on what it learns from."""
+    m, texts = small_model()
+    windows = m.windows([(" ".join(texts[:8]), True, True), ("at sat on the ma", False, False), ("zebra crossing", False, True), ("", True, True)])
+    assert windows.shape == (3, 3, lm_scores.WINDOW) and (windows[1, 2] >= 0).sum() < lm_scores.WINDOW
+    m.weights = {k: x.astype(np.float64) for k, x in m.weights.items()}
+    _, g = m.slopes(windows)
+    rng = np.random.default_rng(3)
+    for name, w in m.weights.items():
+        big = np.argsort(-np.abs(g[name]).ravel())[:4]
+        for i in [*big, rng.integers(w.size)]:
+            if name == "v" and i % w.shape[1] == lm_scores.WIDTH:
+                continue
+            at, loss = np.unravel_index(i, w.shape), []
+            for step in (1e-3, -2e-3):
+                w[at] += step
+                m._masked()
+                loss.append(m.slopes(windows)[0])
+            w[at] += 1e-3
+            m._masked()
+            assert g[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-3, rel=2e-2, abs=2e-5)
     m, texts = small_model()
     score = lambda: sum(m.scores(c := m.coded(t.split())[0], np.array([len(c)]))[0] for t in texts)
     before = score()
-    m.train(texts, steps=60, batch=16)
+    m.train(m.windows([(t, True, True) for t in texts]), batch=8, passes=20)
     assert score() > before
 
 
+def test_attention_lowers_the_loss_of_held_out_texts(spark, monkeypatch):
+    """The model with trained attention, against its corpus terms alone, and against the base."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mean = lambda rows: sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows)
+    whole = lm_scores.score(d, mix=0.0).filter("held_out").collect()
+    fit = lm_scores.trained
+
+    def alone(model, learned, rounds, **options):
+        model = fit(model, learned, 0, **options)
+        model.without_attention()
+        return model
+
+    monkeypatch.setattr(lm_scores, "trained", alone)
+    bare = lm_scores.score(d, mix=0.0).filter("held_out").collect()
+    assert mean(whole) > mean(bare) + 0.1
+    assert mean(whole) > sum(r["base_score"] for r in whole) / sum(r["n_tokens"] for r in whole)
+
+
+def test_training_windows_come_from_all_texts(spark):
+    """As many as the texts are long, from each place alike."""
+    texts = [(i, " ".join(f"w{j}" for j in range(100 + 40 * i))) for i in range(50)] + [(99, None), (100, "")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    chars, got = sum(len(t) for _, t in texts if t), lm_scores.pieces(d, 300).collect()
+    assert abs(len(got) - chars / 300) <= 15 and all(len(r["piece"]) <= 240 for r in got)
+    found = {i for i, t in texts if t and any(r["piece"] in t for r in got)}
+    assert len(found) == 50 and any(r["ends"] for r in got)
+
+
 def test_base_scores(spark):
     d = table(spark, "documents")
-    got = {r["doc_id"]: r for r in lm_scores.score(d, hot_words=50, steps=2).collect()}
     rows = {r["doc_id"]: [*lm_scores.lowered_words(r["text"]), ""] for r in d.collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     c = Counter(w for i, ws in rows.items() if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
+    scores = []
+    for hot_words in (50, 1):  # with one, even the end's count isn't among them
+        got = {r["doc_id"]: r for r in lm_scores.score(d, hot_words=hot_words, rounds=0).collect()}
+        for i, ws in rows.items():
+            base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+            assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (held(i), len(ws), sum(w in c for w in ws), n)
+            assert got[i]["base_score"] == pytest.approx(base, rel=1e-9)
+        scores.append({i: r["score"] for i, r in got.items()})
+    # only the shares of all words, where the mix is all of it
+    pure = {r["doc_id"]: r["score"] for r in lm_scores.score(d, hot_words=50, rounds=0, mix=1.0).collect()}
     for i, ws in rows.items():
-        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
-        assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (held(i), len(ws), sum(w in c for w in ws), n)
-        assert got[i]["base_score"] == pytest.approx(base, rel=1e-9)
+        if not held(i):
+            assert pure[i] == pytest.approx(sum(math.log10(c[w] / n) for w in ws), rel=1e-9)
 
 
 def test_nearest_lattice_points():
