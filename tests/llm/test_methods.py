@@ -132,7 +132,7 @@ def test_training_gradients():
     """Slopes against differences, and loss falls on what it learns from."""
     m, texts = small_model()
     windows = m.windows([(" ".join(texts[:8]), True, True), ("at sat on the ma", False, False), ("zebra crossing", False, True), ("", True, True)])
-    assert windows.shape == (3, 3, lm_scores.WINDOW) and (windows[1, 2] >= 0).sum() < lm_scores.WINDOW
+    assert windows.shape == (4, 3, lm_scores.WINDOW) and (windows[1, 2] >= 0).sum() < lm_scores.WINDOW
     m.weights = {k: x.astype(np.float64) for k, x in m.weights.items()}
     _, g = m.slopes(windows)
     rng = np.random.default_rng(3)
