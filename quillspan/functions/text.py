@@ -116,12 +116,13 @@ def timestamp_text(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
 
 
-def truncated(text: Column, limit: int) -> Column:
+def truncated(text: Column, limit: int | Column) -> Column:
     """At most `limit` characters, back to the last sentence end if that is past the middle."""
-    head = F.substring(text, 1, limit)
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    head = F.substring(text, F.lit(1), limit.cast("int"))
     last = F.length(head) - F.instr(F.reverse(head), " .")  # length up to the last ". ", its blank left out
     found = F.instr(F.reverse(head), " .") > 0
-    return F.when(F.length(text) <= limit, text).otherwise(F.when(found & (last - 1 > limit // 2), F.substring(head, F.lit(1), last)).otherwise(head))
+    return F.when(F.length(text) <= limit, text).otherwise(F.when(found & (last - 1 > F.floor(limit / 2)), F.substring(head, F.lit(1), last)).otherwise(head))
 
 
 def cosine(a: Column, b: Column) -> Column:

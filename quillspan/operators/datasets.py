@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from quillspan.sources.scratch import written
+
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(row_key, rule_id) for each rule that a row breaks; a rule that is null is broken."""
@@ -36,13 +38,33 @@ def hash_order(seed: str, *key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in key]).cast("binary"))
 
 
+def running(rows: DataFrame, order: list[Column], value: Column) -> DataFrame:
+    """rows with place, the sum of value over the rows before in an order of all rows, and places, the sum over all.
+
+    Rows are dealt out by ranges of the order; only one sum per range goes to the
+    driver, so no task sorts the whole table.
+    """
+    d = rows.withColumn("_v", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    d = written(d, "ranges")
+    sums = sorted((r[0], r[1]) for r in d.groupBy("_range").agg(F.sum("_v")).collect())
+    starts = [sum(s for _, s in sums[:k]) for k in range(len(sums))]
+    at = rows.sparkSession.createDataFrame([(r, s) for (r, _), s in zip(sums, starts, strict=True)], "_range int, _before long")
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(F.broadcast(at), "_range").withColumn("place", F.col("_before") + F.coalesce(F.sum("_v").over(w), F.lit(0)))
+    return d.withColumn("places", F.lit(sum(s for _, s in sums)).cast("long")).drop("_v", "_range", "_before")
+
+
+def placed(rows: DataFrame, key: str) -> DataFrame:
+    """rows with place, from 0, in the order of a key, and places, their number."""
+    return running(rows, [F.col(key)], F.lit(1).cast("long"))
+
+
 def group_split(rows: DataFrame, group: str, share: float, seed: str) -> DataFrame:
     """group, n, split: whole groups go to dev, in hash order, until it has `share` of all rows; a single group stays in train."""
-    g = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(hash_order(seed, F.col(group)), group)
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    every = Window.partitionBy()
-    dev = (before < F.sum("n").over(every) * share) & (F.count(F.lit(1)).over(every) > 1)
+    g = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_h", hash_order(seed, F.col(group)))
+    g = running(g, [F.col("_h"), F.col(group)], F.col("n"))
+    # a group that has all rows is a single one
+    dev = (F.col("place") < F.col("places") * share) & (F.col("n") < F.col("places"))
     return g.select(group, "n", F.when(dev, "dev").otherwise("train").alias("split"))
 
 

@@ -105,7 +105,7 @@ def used_constituents(blocks: DataFrame, constituents: DataFrame, snippet: int =
 def capped_blocks(blocks: DataFrame, budget: int, separator: int = 7, least: int = 300) -> DataFrame:
     """query_id, block_id, cap: the most characters of each block of a lecture-wide context; a single block has no cap."""
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    cap = F.greatest(F.lit(least), F.floor((budget - n * separator) / n))
+    cap = F.greatest(F.lit(least), F.floor((budget - (n - 1) * separator) / n))
     return blocks.select("query_id", "block_id", F.when(n > 1, cap).cast("long").alias("cap"))
 
 

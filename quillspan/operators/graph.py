@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.sources.scratch import written
+
 HOPS = 3
 
 
@@ -51,15 +54,71 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends.groupBy("entity_id").agg(F.count(F.lit(1)).alias("degree")), "entity_id", "left").select("entity_id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def on_cycles(edges: DataFrame, length: int) -> DataFrame:
-    """node: nodes on a directed closed walk of at most `length` edges."""
-    e = edges.select("src", "dst").distinct()
-    front, found = e, []
-    for k in range(length):
-        found.append(front.filter("src = dst").select(F.col("src").alias("node")))
-        if k < length - 1:
-            front = front.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("_to")), "dst").select("src", F.col("_to").alias("dst")).distinct()
-    return reduce(DataFrame.union, found).distinct()
+def trail_counts(seeds: DataFrame, edges: DataFrame, hops: int = HOPS, backward: bool = False) -> DataFrame:
+    """query_id, start, node, hops, n: how many trails() of each length lead from a start to another node, for at most three hops.
+
+    The frontier is one row per node and hop, so a hub adds counts and not paths.
+    Edges are one per ordered pair, without loops; then the only walk of three edges
+    that repeats one goes there, back, and there again.
+    """
+    if hops > 3:
+        raise ValueError("longer trails can repeat edges in more ways: list them")
+    a, b = ("dst", "src") if backward else ("src", "dst")
+    step = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
+    front = seeds.groupBy("query_id", F.col("node").alias("start")).agg(F.lit(1).cast("long").alias("n")).withColumn("node", F.col("start"))
+    found = []
+    for k in range(1, hops + 1):
+        front = front.join(step, F.col("node") == F.col("_from")).groupBy("query_id", "start", F.col("_to").alias("node")).agg(F.sum("n").alias("n"))
+        found.append(front.select("query_id", "start", "node", F.lit(k).alias("hops"), "n"))
+    if hops == 3:
+        back = found[0].join(step, (F.col("node") == F.col("_from")) & (F.col("start") == F.col("_to")))
+        found.append(back.select("query_id", "start", "node", F.lit(3).alias("hops"), F.lit(-1).cast("long").alias("n")))
+    every = reduce(DataFrame.unionAll, found).filter("node <> start")
+    return every.groupBy("query_id", "start", "node", "hops").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose source has one coming in and whose target has one going out."""
+    into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
+
+
+def _spread(marks: DataFrame, step: DataFrame) -> DataFrame:
+    """node, mark: the least mark that reaches each node along step (_from, _to), from marks (node, mark); a round per hop of the longest such way."""
+    found, n = written(marks, "marks"), None
+    while True:
+        carried = found.join(step, F.col("node") == F.col("_from")).select(F.col("_to").alias("node"), "mark")
+        new = written(found.union(carried).groupBy("node").agg(F.min("mark").alias("mark")), "marks")
+        state = new.agg(F.count(F.lit(1)), F.sum(F.col("mark").cast("decimal(38,0)"))).first()
+        if state == n:
+            return new
+        found, n = new, state
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its least node): strongly connected nodes, and nodes with a loop; others don't appear.
+
+    Each turn spreads least ids along the edges, then back from the nodes that kept
+    their own: what is met by both is a component of the node whose id it has.
+    Components leave, and edges that can be on no cycle are trimmed, until none is left.
+    """
+    e = edges.select("src", "dst").dropna().distinct()
+    loops = e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    e, found = written(_trimmed(e.filter("src <> dst")), "arcs"), []
+    while not e.isEmpty():
+        nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
+        ahead = _spread(nodes.select("node", F.col("node").alias("mark")), e.select(F.col("src").alias("_from"), F.col("dst").alias("_to")))
+        # back, within one colour
+        inside = e.join(ahead.select(F.col("node").alias("src"), F.col("mark").alias("a")), "src").join(ahead.select(F.col("node").alias("dst"), F.col("mark").alias("b")), "dst").filter("a = b")
+        inside = written(inside.select(F.col("dst").alias("_from"), F.col("src").alias("_to")), "inside")
+        back = _spread(ahead.filter("node = mark"), inside)
+        found.append(back.select("node", F.col("mark").alias("component")))
+        gone = back.select("node")
+        e = e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        e = written(_trimmed(e), "arcs")
+    whole = reduce(DataFrame.union, found) if found else loops.limit(0)
+    many = whole.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("component")
+    return whole.join(many, "component", "left_semi").select("node", "component").union(loops).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def _without_cycles(src: list, dst: list, rank: dict) -> list[int]:
@@ -116,6 +175,32 @@ def acyclic(edges: DataFrame, group: str = "lecture_id") -> DataFrame:
     return edges.groupBy(group).applyInPandas(keep, edges.schema)
 
 
+def validated(edges: DataFrame, group: str = "lecture_id") -> DataFrame:
+    """group, edges, on_cycles: how many edges of each group are left when sources are peeled off until none is; 0 for a graph without cycles.
+
+    A group is one task, as in acyclic(), whose results this checks.
+    """
+
+    def peel(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.concatenate([rows["src"], rows["dst"]]), return_inverse=True)
+        a, b = at[: len(rows)], at[len(rows) :]
+        order = np.argsort(a, kind="stable")
+        starts, incoming = np.searchsorted(a[order], np.arange(len(ids) + 1)), np.bincount(b, minlength=len(ids))
+        ready, left = np.flatnonzero(incoming == 0).tolist(), len(rows)
+        while ready:
+            n = ready.pop()
+            own = b[order[starts[n] : starts[n + 1]]]
+            left -= len(own)
+            for x in own.tolist():
+                incoming[x] -= 1
+                if not incoming[x]:
+                    ready.append(x)
+        return pd.DataFrame({group: [rows[group].iloc[0]], "edges": [len(rows)], "on_cycles": [left]})
+
+    kind = edges.schema[group].dataType.simpleString()
+    return edges.groupBy(group).applyInPandas(peel, f"{group} {kind}, edges long, on_cycles long")
+
+
 def distance_scores(mentions: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
     """query_id, chunk_id, score: 3 for each chunk of an asked entity, 1.5 for a neighbour's, 0.5 for a second neighbour's (not the entity itself); parallel edges count."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))

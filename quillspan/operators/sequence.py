@@ -135,14 +135,15 @@ def merge_adjacent(rows: DataFrame, seconds: float = 30.0) -> DataFrame:
 
 
 def timeline_buckets(rows: DataFrame, n: int = 8) -> DataFrame:
-    """At most n rows of a lecture over its time: all if there are few; else the first of each of n equal spans, or, with equal times, every so-many-th."""
+    """At most n rows of a lecture over its time: all if there are few; else the first of each of n equal spans, or, with equal times, n rows a whole step apart."""
     w = Window.partitionBy("lecture_id")
     r = rows.withColumns({"_n": F.count(F.lit(1)).over(w), "_a": F.min("ts").over(w), "_z": F.max("ts").over(w), "_i": F.row_number().over(w.orderBy("ts", "seq")) - 1})
     span = F.least(F.floor((F.col("ts") - F.col("_a")) / ((F.col("_z") - F.col("_a")) / n)), F.lit(n - 1)).cast("long")
-    stride = F.floor(F.col("_i") * n / F.col("_n")).cast("long")
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / n))
+    stride = F.when((F.col("_i") % step == 0) & (F.col("_i") < n * step), F.floor(F.col("_i") / step)).cast("long")
     r = r.withColumn("bucket", F.when(F.col("_n") <= n, F.col("_i").cast("long")).when(F.col("_z") == F.col("_a"), stride).otherwise(span))
     first = F.row_number().over(Window.partitionBy("lecture_id", "bucket").orderBy("ts", "seq"))
-    return r.withColumn("_f", first).filter("_f = 1").drop("_n", "_a", "_z", "_i", "_f")
+    return r.filter("bucket is not null").withColumn("_f", first).filter("_f = 1").drop("_n", "_a", "_z", "_i", "_f")
 
 
 def timeline_clusters(rows: DataFrame, top_k: int = 15, width: int = 8) -> DataFrame:

@@ -93,7 +93,7 @@ def dedupe_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each good document of a source a bad one of the same source, both by hash order."""
-    d = m.table(spark, sf_dir, "documents").join(m.table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality", F.substring("text", 1, 60).alias("text"))
+    d = m.table(spark, sf_dir, "documents").join(m.table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality", "text")
     order = D.hash_order("t42", F.col("doc_id"))
     w = Window.partitionBy("source", "quality").orderBy(order, "doc_id")
     d = d.withColumn("nth", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source", "quality")))
@@ -120,9 +120,8 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """70, 15 and 15 of 100 conversations by place."""
     c = m.table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    w = Window.orderBy("conv_id")
-    c = c.withColumns({"i": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})
-    return c.select("conv_id", F.when(F.col("i") < F.floor(F.col("n") * 0.7), "train").when(F.col("i") < F.floor(F.col("n") * 0.85), "dev").otherwise("test").alias("split"))
+    c = D.placed(c, "conv_id")
+    return c.select("conv_id", F.when(F.col("place") < F.floor(F.col("places") * 0.7), "train").when(F.col("place") < F.floor(F.col("places") * 0.85), "dev").otherwise("test").alias("split"))
 
 
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +206,7 @@ k as (select *, case when trim(q) = '' then 'factual_qa' {_CASE(1)} when g > 0 a
 planned as (select query_id, case when trim(q) = '' then 'vector_only' when g > 0 and v > 0 then 'graph+vector' when g > 0 then 'graph_only' else 'vector_only' end as route, intent, wide as is_lecture_wide, style as answer_style,
  floor(g / greatest(g + v, 1)::double * 100 + 0.5) / 100 as graph_weight, case when wide then 3 else 2 end as graph_depth, case when trim(q) = '' then 5 else 15 end as top_k, case when trim(q) = '' then 4000 else 6000 end as context_budget, {_any('q', fixed.VISUAL_PATTERNS)} as need_visual from k)"""
 _FRAG = f"""(trim(name) = '' or (regexp_matches(trim(name), '[.!?]\\s|\\.$') and not ({' or '.join(f"ends_with(trim(name), '{e}')" for e in fixed.ABBREVIATION_ENDS)})) or regexp_matches(lower(trim(name)), '^({'|'.join(fixed.FRAGMENT_OPENERS)})\\b') or regexp_matches(trim(name), '\\s[;—]\\s') or len(regexp_split_to_array(trim(name), '\\s+')) > 12)"""
-_TRIP = """d as (select doc_id, source, quality, substr(text, 1, 60) as text, md5('t42:' || doc_id) as h from documents join labels using (doc_id)),
+_TRIP = """d as (select doc_id, source, quality, text, md5('t42:' || doc_id) as h from documents join labels using (doc_id)),
 n as (select *, row_number() over (partition by source, quality order by h, doc_id) - 1 as nth, count(*) over (partition by source, quality) as n from d),
 trip as (select p.source, p.doc_id as positive, q.doc_id as negative, p.text as query from n p join n q on p.source = q.source and q.quality = 0 and q.nth = p.nth % q.n where p.quality = 1)"""
 _NOISE = lambda t: f"(trim({t}) = '' or (len(regexp_split_to_array(trim({t}), '\\s+')) < 5 and not regexp_matches({t}, '[A-Za-z]')) or {_any(t, fixed.NOISE_PATTERNS)})"

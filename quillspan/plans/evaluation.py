@@ -165,9 +165,9 @@ def timeline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """95 % interval of the mean MRR by 1000 Poisson resamples: each row's weight in a resample follows from a hash, so nothing is drawn twice differently."""
+    """95 % interval of the mean MRR by 10,000 Poisson resamples: each row's weight in a resample follows from a hash, so nothing is drawn twice differently."""
     r = _measured(spark, sf_dir).filter("answerable").select("query_id", "mrr_5")
-    b = r.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    b = r.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(9999))))
     u = F.pmod(F.xxhash64("query_id", "sample", F.lit("boot")), F.lit(1 << 40)) / float(1 << 40)
     edges, total, p = [], 0.0, 2.718281828459045**-1
     for k in range(8):

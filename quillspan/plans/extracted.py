@@ -79,8 +79,8 @@ def _one_each(items: DataFrame) -> DataFrame:
 
 
 def source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources with at least 20 short texts give their first 30; equal texts count once."""
-    d = m.table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 12).alias("t"))
+    """Sources with at least 20 texts give their first 30; equal texts count once."""
+    d = m.table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("t"))
     return E.merged_sources(d, "source", "doc_id", F.sha1(F.lower("t").cast("binary")), 20, 30)
 
 
@@ -128,11 +128,11 @@ u as (select *, sum(length(text) + 7) over (partition by query_id order by score
 k as (select *, left(text, 1993) as head, instr(reverse(left(text, 1993)), ' .') as cut from u where used <= 2000 or r = 1),
 f as (select query_id, block_id, case when used <= 2000 or length(text) <= 1993 then text when cut > 0 and length(head) - cut - 1 > 996 then left(head, length(head) - cut) else head end as kept from k)
 select query_id, block_id, block_id as chunk_id from f join b0 using (query_id, block_id) where contains(kept, trim(substr(text, 1, 40)))""",
-    "wide_caps": f"with {_BLOCKS}, n as (select query_id, block_id, count(*) over (partition by query_id) as n from b0) select query_id, block_id, case when n > 1 then greatest(300, floor((6000 - n * 7) / n::double))::bigint end as cap from n",
+    "wide_caps": f"with {_BLOCKS}, n as (select query_id, block_id, count(*) over (partition by query_id) as n from b0) select query_id, block_id, case when n > 1 then greatest(300, floor((6000 - (n - 1) * 7) / n::double))::bigint end as cap from n",
     "entity_pruning": """with i as (select l_orderkey as window_id, l_linenumber as pos, max((3 - l_partkey % 3)::int) as tier, max(length(p_name)) as cost from lineitem join part on l_partkey = p_partkey group by 1, 2),
 k as (select *, sum(cost) over w as used, row_number() over w as r from i window w as (partition by window_id order by tier desc, pos rows unbounded preceding))
 select window_id, pos, tier, 'E' || (row_number() over (partition by window_id order by pos)) as alias from k where used <= 60 or r <= 2""",
-    "source_merge": """with r as (select doc_id, source, lower(substr(text, 1, 12)) as t, count(*) over (partition by source) as n, row_number() over (partition by source order by doc_id) as r from documents),
+    "source_merge": """with r as (select doc_id, source, lower(text) as t, count(*) over (partition by source) as n, row_number() over (partition by source order by doc_id) as r from documents),
 u as (select *, n >= 20 and r <= 30 as used from r), k as (select *, used and row_number() over (partition by used, t order by source, doc_id) = 1 as kept from u)
 select source, count(*) as provided, (count(*) filter (used))::bigint as used, (count(*) filter (kept))::bigint as kept from k group by source""",
     "prerequisite_audit": f"""with {knowledge._CONF}, j as (select s.src, s.dst, a.p_name as sn, b.p_name as dn, s.graph, s.confidence, c.t_src, c.t_dst, case when (s.src + s.dst) % 11 = 0 then 0.9 else 0.0 end as disc

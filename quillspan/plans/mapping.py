@@ -12,9 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a chunk of its source's lecture; every 15 seconds one."""
-    d = table(spark, sf_dir, "documents")
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return d.select(F.col("source").alias("lecture_id"), F.col("doc_id").alias("chunk_id"), "text", (15.0 * at).alias("ts"))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("lecture_id"), F.col("doc_id").alias("chunk_id"), "text")
+    # ids alone are numbered by lecture; texts are dealt out by id
+    at = F.row_number().over(Window.partitionBy("lecture_id").orderBy("chunk_id")) - 1
+    return d.join(d.select("lecture_id", "chunk_id", (15.0 * at).alias("ts")), ["lecture_id", "chunk_id"])
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +35,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 25th vector asks its own tenant."""
-    return vectors(spark, sf_dir).filter("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), "lecture_id", "embedding", F.col("label").alias("wanted"))
+    """Every vector whose id is divisible by 20 asks its own tenant."""
+    return vectors(spark, sf_dir).filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "lecture_id", "embedding", F.col("label").alias("wanted"))
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:

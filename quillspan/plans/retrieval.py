@@ -41,9 +41,9 @@ def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _text_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of the document of the same id, among the documents of the vectors' tenants."""
-    d = m.table(spark, sf_dir, "documents").select(F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string")).alias("lecture_id"), F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 200).alias("text"))
+    d = m.table(spark, sf_dir, "documents").select(F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string")).alias("lecture_id"), F.col("doc_id").alias("chunk_id"), "text")
     d = d.join(m.vectors(spark, sf_dir).select("chunk_id"), "chunk_id", "left_semi")
-    q = d.filter("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), "lecture_id", F.col("text").alias("query"))
+    q = d.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "lecture_id", F.col("text").alias("query"))
     return lexical.top_k(lexical.bm25(d, q), K)
 
 
@@ -92,12 +92,12 @@ def _bm25_sql(docs: str, queries: str) -> str:
 
 _RANK = "row_number() over (partition by query_id order by round(score, 9) desc, chunk_id)"
 _DENSE_SQL = f"""
-  qv as (select chunk_id as query_id, lecture_id, embedding, label as wanted from {m.VECTORS_SQL} where chunk_id % 25 = 0),
+  qv as (select chunk_id as query_id, lecture_id, embedding, label as wanted from {m.VECTORS_SQL} where chunk_id % 20 = 0),
   ds as (select query_id, v.lecture_id, v.chunk_id, list_inner_product(v.embedding::double[], qv.embedding::double[]) as score from {m.VECTORS_SQL} v join qv using (lecture_id)),
   d30 as (select * from (select *, {_RANK} as rank from ds) where rank <= {K + 15}),
   dense as (select * from (select query_id, lecture_id, chunk_id, score, {_RANK} as rank from d30 where chunk_id % 7 <> 0) where rank <= {K})"""
-_LEG_DOCS = "(select 't' || (doc_id % 10) as lecture_id, doc_id as chunk_id, substr(text, 1, 200) as text from documents where doc_id in (select vec_id from embeddings))"
-_LEG = _bm25_sql(_LEG_DOCS, f"(select chunk_id as query_id, lecture_id, text as query from {_LEG_DOCS} where chunk_id % 25 = 0)") + f",\n  leg as (select * from (select *, {_RANK} as rank from sc) where rank <= {K})"
+_LEG_DOCS = "(select 't' || (doc_id % 10) as lecture_id, doc_id as chunk_id, text from documents where doc_id in (select vec_id from embeddings))"
+_LEG = _bm25_sql(_LEG_DOCS, f"(select chunk_id as query_id, lecture_id, text as query from {_LEG_DOCS} where chunk_id % 20 = 0)") + f",\n  leg as (select * from (select *, {_RANK} as rank from sc) where rank <= {K})"
 
 
 def _rrf_sql(legs: list[str]) -> str:

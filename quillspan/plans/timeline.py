@@ -139,8 +139,8 @@ f as (select lecture_id, i, 1 as block, ts, segment from a where i = 1
  from f join a on a.lecture_id = f.lecture_id and a.i = f.i + 1, lateral (select f.segment = a.segment and abs(a.ts - f.ts) <= 30 as same))
 select lecture_id, block, count(*) as members, min(a.ts) as ts, max(n)::bigint as score from a join f using (lecture_id, i) group by 1, 2""",
     "timeline_buckets": f"""with r as (select lecture_id, chunk_id as seq, ts, count(*) over w as n, min(ts) over w as a, max(ts) over w as z, row_number() over (partition by lecture_id order by ts, chunk_id) - 1 as i from {_C} window w as (partition by lecture_id)),
-b as (select lecture_id, seq, ts, case when n <= 8 then i when a = z then i * 8 // n else least(floor((ts - a) / ((z - a) / 8)), 7)::bigint end as bucket from r)
-select lecture_id, seq, ts, bucket from (select *, row_number() over (partition by lecture_id, bucket order by ts, seq) as f from b) where f = 1""",
+b as (select lecture_id, seq, ts, case when n <= 8 then i when a = z then case when i % greatest(1, n // 8) = 0 and i < 8 * greatest(1, n // 8) then i // greatest(1, n // 8) end else least(floor((ts - a) / ((z - a) / 8)), 7)::bigint end as bucket from r)
+select lecture_id, seq, ts, bucket from (select *, row_number() over (partition by lecture_id, bucket order by ts, seq) as f from b where bucket is not null) where f = 1""",
     "timeline_clusters": f"""with r as (select lecture_id, chunk_id as seq, ts, count(*) over (partition by lecture_id) as n, row_number() over (partition by lecture_id order by ts, chunk_id) - 1 as i from {_C})
 select lecture_id, seq, ts from r where n <= 16 or exists (select 1 from range(2) t(k) where i >= least(floor(k * n / 2.0), n - 8) and i < least(floor(k * n / 2.0), n - 8) + 8)""",
     "keyword_titles": f"""with f as (select conv_id as lecture_id, turn as pos, case when role = 'user' then 3.0 else 1.0 end as weight, regexp_extract_all(text, '[A-Za-z][A-Za-z''\\-]*') as ws from conversations),

@@ -1,6 +1,7 @@
 """Small cases of single operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +212,15 @@ def test_pruning_keeps_two(spark):
 
     items = spark.createDataFrame([(1, 0, 1, 50), (1, 1, 3, 50), (1, 2, 2, 50)], "window_id long, pos int, tier int, cost int")
     assert [(r["pos"], r["alias"]) for r in E.pruned(items, 10).orderBy("pos").collect()] == [(1, "E1"), (2, "E2")]
+
+
+def test_places_in_an_order_of_all_rows(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(500), rng.randrange(5)) for _ in range(2000)]
+    got = datasets.running(spark.createDataFrame(rows, "k int, v long").repartition(9), [F.col("k"), F.col("v")], F.col("v")).collect()
+    total, at = 0, []
+    for k, v in sorted(rows):
+        at.append((k, v, total, sum(v for _, v in rows)))
+        total += v
+    assert sorted(map(tuple, got)) == sorted(at)
+    assert datasets.placed(spark.createDataFrame([], "k int"), "k").collect() == []

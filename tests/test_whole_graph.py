@@ -36,3 +36,30 @@ def test_dag_enforced_takes_every_scored_edge(spark):
     got = knowledge.dag_enforced(spark, SF).collect()
     assert {(r["src"], r["dst"]) for r in got} == greedy(scored)
     assert any(r["src"] % 40 != r["dst"] % 40 for r in got)
+
+
+def test_strong_components(spark):
+    """Against reach both ways, on graphs of one large and many small cycles, chains, loops and nulls."""
+    rng = random.Random(4)
+    for n, p in ((30, 0.05), (40, 0.03), (25, 0.2)):
+        edges = {(a, b) for a in range(n) for b in range(n) if rng.random() < p} | {(100 + i, 101 + i) for i in range(6)} | {(200 + i, 200 + (i + 1) % 7) for i in range(7)}
+        reach = {a: {a} for e in edges for a in e}
+        for _ in reach:
+            for a, b in edges:
+                reach[a] |= reach[b]
+        want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach if (a, a) in edges or any(a in reach[b] for b in reach[a] - {a})}
+        got = graph.strong_components(spark.createDataFrame([*edges, (1, None), (None, 2)], "src long, dst long"))
+        assert {r["node"]: r["component"] for r in got.collect()} == want
+    assert graph.strong_components(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).collect() == []
+
+
+def test_peeling(spark):
+    rows = [(1, 1, 2), (1, 2, 3), (1, 1, 3), (2, 1, 2), (2, 2, 1), (2, 2, 3), (2, 0, 1), (3, 5, 5)]
+    got = graph.validated(spark.createDataFrame(rows, "lecture_id int, src long, dst long"))
+    # what comes after a cycle can't be peeled from the sources either
+    assert {(r["lecture_id"], r["edges"], r["on_cycles"]) for r in got.collect()} == {(1, 3, 0), (2, 4, 3), (3, 1, 1)}
+
+
+def test_enforced_graph_has_no_cycle(spark):
+    got = {r["enforced"]: r for r in knowledge.dag_is_acyclic(spark, SF).collect()}
+    assert got[False]["on_cycles"] > 0 and got[True]["on_cycles"] == 0
