@@ -133,3 +133,30 @@ REFUSALS = ["insufficient evidence", "not enough evidence", "cannot answer", "do
 
 # Other names of entity types.
 ENTITY_TYPE_ALIASES = {"variable": "Concept", "textelement": "Concept"}
+
+#: Cues that one term {A} comes before another {B}, with scores and names, in order of search.
+CUE_PATTERNS = [
+    (r"\b{A}\b[^.]{1,80}\bis\s+(?:a\s+)?prerequisite\s+(?:for|to)\s+\b{B}\b", 1.0, "explicit_prerequisite"),
+    (r"\bprerequisite\s+(?:for|to)\s+\b{B}\b[^.]{1,80}\bis\s+\b{A}\b", 1.0, "explicit_prerequisite_rev"),
+    (r"\bwithout\s+(?:understanding\s+|knowing\s+)?\b{A}\b[^.]{1,80}(?:cannot|can't|impossible\s+to)\s+(?:understand|grasp|follow)\s+\b{B}\b", 0.95, "negative_necessity"),
+    (r"\b{B}\b[^.]{1,60}\bcan\s+only\s+(?:work|operate|function)\s+(?:using|with|by|if\s+there\s+is)\s+(?:an?\s+)?\b{A}\b", 0.95, "only_works_with_requirement"),
+    (r"\bwhy\s+only\s+(?:an?\s+)?\b{A}\b\s+can\s+be\s+used\s+in\s+\b{B}\b", 0.95, "why_only_used_requirement"),
+    (r"\bbefore\s+(?:we\s+)?(?:move\s+on\s+to|discuss|discussing|look\s+at|talk\s+about|understand|learn)\s+\b{B}\b[^.]{1,80}(?:let\s*\'?s|let\s+us|we|must|first|need\s+to|should)\s+(?:first\s+)?(?:understand|look\s+at|know|cover|review)\s+\b{A}\b", 0.95, "pedagogical_precedence"),
+    (r"\b(?:need|have|require)\s+to\s+(?:know|understand|master)\s+\b{A}\b[^.]{1,80}(?:in\s+order\s+to|to)\s+(?:understand|know|study|implement)\s+\b{B}\b", 0.95, "understanding_requirement"),
+    (r"\bin\s+order\s+to\s+(?:understand|grasp|follow)\s+\b{B}\b[^.]{1,80}(?:you|we|one)?\s*(?:first\s+)?(?:must|need\s+to|have\s+to)\s+(?:understand|know)\s+\b{A}\b", 0.95, "in_order_to_requirement"),
+    (r"\b{A}\b[^.]{1,80}\b(?:are\s+manufactured\s+to\s+be|can\s+be\s+(?:classified|categorized|divided|split)\s+into|come\s+in\s+two\s+(?:types|forms)\s*(?:such\s+as|like|:)?|can\s+be\s+either|are\s+usually\s+in\s+a)\s+[^.]{0,60}\b{B}\b", 0.9, "specialization_subdivision"),
+    (r"\b{B}\b[^.]{0,60}\b(?:is\s+a\s+(?:type|form|kind|specialization|variation)\s+of|is\s+simply\s+a|are\s+made\s+from\s+(?:either\s+)?(?:three\s+)?(?:separate\s+)?)\s+\b{A}\b", 0.9, "specialization_type_of"),
+    (r"\b{A}\b\s+(?:configuration|system|setup)\s+(?:is\s+)?(?:known\s+as|called|referred\s+to\s+as|designated\s+as)\s+(?:a\s+|an\s+)?\b{B}\b", 0.85, "topological_configuration"),
+    (r"\b{B}\b[^.]{1,60}\b(?:refers\s+to|consists\s+of|is\s+a\s+configuration\s+of)\s+[^.]{1,60}\b{A}\b", 0.85, "config_reference"),
+    (r"\b(?:change\s+in|fluctuation\s+in|alternation\s+(?:of|in)|flow\s+of)\s+\b{A}\b[^.]{1,60}\b(?:creates|generates|produces|induces|results\s+in)\s+(?:a\s+|an\s+|the\s+)?(?:fluctuating\s+|changing\s+|varying\s+|dynamic\s+)?\b{B}\b", 0.85, "causal_generation"),
+    (r"\bpass\s+(?:an?\s+)?\b{A}\b[^.]{1,40}\bthen\s+(?:the\s+)?\b{B}\b\s+will\s+(?:fluctuate|vary|increase|decrease|change|reverse)\b", 0.85, "signal_variation"),
+    (r"\b(?:change\s+in\s+(?:the\s+)?(?:intensity\s+and\s+direction\s+of\s+(?:the\s+)?|fluctuation\s+of\s+(?:the\s+)?)|fluctuating\s+)\b{A}\b[^.]{1,60}\b(?:forces\s+(?:them|electrons)\s+to\s+move|produces|induces)\s+[^.]{1,60}\b{B}\b", 0.85, "inductive_generation"),
+    (r"\b{A}\b\s+(?:constantly\s+)?(?:disturbs|induces|creates|generates|produces|causes)\b[^.]{0,100}\.\s+this\s+(?:movement|force|action|induction|effect|phenomenon)\s+(?:is\s+known\s+as|is\s+called|causes|induces|produces|results\s+in)\s+[^.]{0,80}\b{B}\b", 0.9, "anaphoric_induction"),
+    (r"\b{B}\b[^.]{1,60}\b(?:is\s+induced|is\s+generated|arises\s+from|occurs\s+due\s+to)\s+(?:due\s+to|because\s+of|from\s+the\s+(?:changing|fluctuating|varying))\s+\b{A}\b", 0.85, "passive_generation"),
+    (r"\b{B}\b[^.]{1,60}\b(?:relies\s+on|depends\s+on|builds\s+upon|builds\s+on|is\s+based\s+on)\s+(?:the\s+mechanism\s+(?:we\s+discussed\s+earlier,?\s*)?)?\b{A}\b", 0.9, "reliance_dependency"),
+    (r"\b(?:recall|remember)\s+\b{A}\b[^.]{1,60}(?:because|since|as)\s+we(?:'ll|\s+will)?\s+(?:use|need)\s+it\s+(?:here\s+)?(?:for|in)?\s*\b{B}\b", 0.85, "recall_relevance"),
+    (r"\b{A}\b[^.]{1,60}\bis\s+(?:needed|required|essential|fundamental)\s+for\s+\b{B}\b", 0.85, "essential_foundation"),
+]
+
+#: Last words that a long term may be without.
+GENERIC_HEAD_NOUNS = ["connection", "configuration", "circuit", "concept", "type", "device", "phenomenon", "mechanism"]
