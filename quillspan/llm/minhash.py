@@ -41,7 +41,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from quillspan.llm.components import connected_components
-from quillspan.llm.shared import WordTable, chunks_of, cut, grouped, kept, words_of
+from quillspan.llm.shared import WordTable, chunks_of, cut, grouped, kept, released, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK_ROWS = 5, 0.8, 32, 5, 500
 #: Pairs whose signatures agree less than this much below the threshold are not verified: five standard deviations.
@@ -67,6 +67,11 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
 
 
+def hash_table() -> WordTable:
+    """The hashes of words that this worker has seen; all steps share it."""
+    return kept("word-hashes", lambda: WordTable(word_hashes))
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of texts whose words' hashes lie one after another, and the number of each text's shingles."""
     per = np.where(counts > 0, np.maximum(1, counts - size + 1), 0)
@@ -135,11 +140,11 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        table = kept("word-hashes", lambda: WordTable(word_hashes))
+        table = hash_table()
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].to_pylist()
             at = 0
-            for n, words, counts in chunks_of(texts, 300_000):
+            for n, words, counts in chunks_of(texts, 200_000):
                 hashes, per = shingles(table.look(words) if words else np.zeros(0, np.uint64), counts)
                 values = signatures(*multisets(hashes, per), n, bands * rows)
                 keys = band_keys(values, bands, rows)
@@ -158,6 +163,8 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     ["row_id", "doc_id", "digest", "n_shingles", "keys", "signature"],
                 )
                 at, row = at + n, row + n
+            del batch, ids, texts
+            released()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(sign, "row_id long, doc_id long, digest binary, n_shingles long, keys array<long>, signature array<smallint>")
 
@@ -170,7 +177,7 @@ def agreement(a: Column, b: Column) -> Column:
 @pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Weighted Jaccard similarity of the shingle multisets of two texts, counted exactly."""
-    table, memo = WordTable(word_hashes), {}
+    table, memo = hash_table(), {}
 
     def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
         if text not in memo:
@@ -194,7 +201,7 @@ def _bags(texts: DataFrame) -> DataFrame:
     """node, shingle, c: the shingle multisets of texts (node, text)."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(word_hashes)
+        table = hash_table()
         for batch in batches:
             nodes, at = batch["node"].to_numpy(), 0
             for n, words, counts in chunks_of(batch["text"].to_pylist(), 200_000):
@@ -241,7 +248,8 @@ def _links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: floa
     buckets = cut(keys.join(full, "key"), "buckets")
     some = cut(buckets.select("node").distinct(), "candidates")
     sides = cut(own.select(F.col("row_id").alias("node"), "n_shingles", "signature").join(some, "node"), "candidate-signatures")
-    wanted = nodes.join(some, "node").select("node", "digest", F.col("doc_id").alias("_doc"))
+    # written first, so that its size is known: a small one is broadcast (by Spark's own limit), and then no text moves
+    wanted = cut(nodes.join(some, "node").select("node", "digest", F.col("doc_id").alias("_doc")), "wanted")
     texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.col("doc_id").cast("long").alias("_id"), "text").filter("text is not null")
     texts = texts.join(wanted, (texts["digest"] == wanted["digest"]) & F.col("_id").eqNullSafe(F.col("_doc"))).select("node", "text")
     texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
@@ -290,7 +298,7 @@ def _packed_bags(texts: DataFrame) -> DataFrame:
     """node, bag: each text's distinct shingles, ascending, and their counts, as bytes."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(word_hashes)
+        table = hash_table()
         for batch in batches:
             nodes, at = batch["node"].to_numpy(), 0
             for n, words, counts in chunks_of(batch["text"].to_pylist(), 200_000):

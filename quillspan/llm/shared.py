@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -133,7 +135,7 @@ class WordTable:
     memo starts anew, so memory is bounded however many distinct words there are.
     """
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 400_000):
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 200_000):
         self.make, self.limit = make, limit
         self.place: dict[str, int] = {}
         self.rows: np.ndarray | None = None
@@ -166,10 +168,20 @@ def kept(name: str, make: Callable[[], object]):
     """What a Python worker keeps between tasks of one job: one thing at a time, made anew for another name."""
     if name not in _KEPT:
         _KEPT.clear()
+        released()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
+def released() -> None:
+    """Give memory that a Python worker no longer uses back to the machine; workers outlive their jobs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def chunks_of(texts: Iterable[str | None], most_words: int = 500_000, split: Callable[[str], list[str]] = words_of):
     """Yield (number of texts, words of all, words per text) for runs of whole texts of about most_words words."""
     words: list[str] = []
