@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import answers, curation, evaluation, extracted, knowledge, retrieval, timeline
+from quillspan.plans import answers, curation, evaluation, extracted, knowledge, retrieval, segments, timeline
 
-_PLANS = [retrieval, answers, evaluation, timeline, knowledge, curation, extracted]
+_PLANS = [retrieval, answers, evaluation, timeline, knowledge, curation, extracted, segments]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
 FLAGSHIP = "bm25_topk"

@@ -160,3 +160,12 @@ CUE_PATTERNS = [
 
 #: Last words that a long term may be without.
 GENERIC_HEAD_NOUNS = ["connection", "configuration", "circuit", "concept", "type", "device", "phenomenon", "mechanism"]
+
+# What a written title may begin with, marks in it, and its stand-in.
+TITLE_PREFIX = r"(?i)^\s*(?:title|caption|segment|topic|heading)\s*\d*\s*[:\-.]\s*"
+TITLE_MARKS = "[#*`_>]+"
+UNTITLED = "Untitled Segment"
+
+# Boilerplate in descriptions of slides.
+SLIDE_HEADER = r"(?i)###\s*Educational\s+Slide\s+Description\s*"
+SLIDE_BACKGROUND = r"(?i)####\s*Background\s*-\s*[^\n]+"
