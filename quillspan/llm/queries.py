@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import fingerprints, language_id, lattice, lm_scores, minhash, mixing, packing, token_counts, toxicity, url_filter
+from quillspan.llm import exact_dedup, fingerprints, language_id, lattice, lm_scores, minhash, mixing, packing, prefix_trie, token_counts, toxicity, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,6 +138,49 @@ from f
 """
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decide(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_exact_dedup"] = """
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+       row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256
+from d
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+#: Every prefix is a list here; h's crc32 comes from a table of the 256 remainders.
+ORACLES["op12_prefix_trie"] = f"""
+with recursive bits as (select n::bigint as n, n::bigint as v, 0 as i from range(256) t(n) union all select n, case when v % 2 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end, i + 1 from bits where i < 8),
+crcs as materialized (select list(v order by n) as c from bits where i = 8),
+t as materialized (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, sha256(length(r) || ':' || r || x), r, x) - 1 as pos, r || chr(1) || x as said, strlen(x) as bytes
+  from (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null)),
+c0 as (select conv_id, count(*) as n from t group by 1),
+crc as (select conv_id, 4294967295::bigint as v, 1 as i from c0 union all select conv_id, xor(v >> 8, c[xor(v, ascii(substr(conv_id::varchar, i, 1))::bigint) % 256 + 1]), i + 1 from crc, crcs where i <= length(conv_id::varchar)),
+c as (select c0.*, xor(v, 4294967295) % {prefix_trie.HEAD} as h, conv_id - conv_id % {prefix_trie.GROUP} as base from c0 join crc using (conv_id) where i = length(conv_id::varchar) + 1),
+full_ as (select c.conv_id, 0 as part, t.pos, said, bytes from c join t on t.conv_id = base and t.pos < h union all select c.conv_id, 1, t.pos, said, bytes from c join t on t.conv_id = c.conv_id and t.pos >= h),
+l as materialized (select c.conv_id, coalesce(list(said order by part, pos) filter (said is not null), []) as seq, coalesce(list(bytes order by part, pos) filter (said is not null), []) as b from c left join full_ using (conv_id) group by 1),
+p as materialized (select conv_id, d, md5(array_to_string(seq[1 : d], chr(2)) || chr(2) || d) as k, len(seq) = d as ends, case when d > 0 then b[d] else 0 end as bytes from l, lateral (select unnest(range(len(seq) + 1)) as d)),
+n as materialized (select d, k, min(conv_id) as conv_id, count(*) as n, any_value(bytes) as bytes, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as e from p group by d, k),
+up as (select n.*, q.k as parent, o.conv_id as parent_conv_id from n left join p q on q.conv_id = n.conv_id and q.d = n.d - 1 left join n o on o.d = q.d and o.k = q.k),
+kids as (select parent as k, count(*) as n_children from up where parent is not null group by 1),
+own as materialized (select up.*, coalesce(n_children, 0) as n_children, (n - 1) * bytes as s from up left join kids on kids.k = up.k),
+below as (select q.d, q.k, sum(case when n_children = 0 then 1 else 0 end) as leaves, sum(s) as s from own join p q on q.conv_id = own.conv_id and q.d <= own.d group by all)
+select own.conv_id, own.d as depth, parent_conv_id, n as n_convs, n_children, leaves::bigint as n_leaves, below.s::bigint as saved_tokens, sha256(e) as ends_sha256
+from own join below on own.d = below.d and own.k = below.k
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES |= {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scores": op2_lm_scores,
@@ -149,4 +192,7 @@ QUERIES |= {
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
