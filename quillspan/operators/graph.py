@@ -55,26 +55,37 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def trail_counts(seeds: DataFrame, edges: DataFrame, hops: int = HOPS, backward: bool = False) -> DataFrame:
-    """query_id, start, node, hops, n: how many trails() of each length lead from a start to another node, for at most three hops.
+    """query_id, node, hops, n: how many trails() of each length lead from a query's starts to another node, for at most three hops.
 
-    The frontier is one row per node and hop, so a hub adds counts and not paths.
+    Walks are summed over the starts of a query after each hop, so the frontier is one
+    row per query and node.  What isn't such a trail is taken off at the end: walks back to their own
+    start, whose number depends on the node alone, and walks that take one edge twice.
     Edges are one per ordered pair, without loops; then the only walk of three edges
-    that repeats one goes there, back, and there again.
+    that repeats one goes there, back, and there again.  Queries with the same
+    starts should ask once, under one id.
     """
     if hops > 3:
         raise ValueError("longer trails can repeat edges in more ways: list them")
     a, b = ("dst", "src") if backward else ("src", "dst")
     step = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
-    front = seeds.groupBy("query_id", F.col("node").alias("start")).agg(F.lit(1).cast("long").alias("n")).withColumn("node", F.col("start"))
-    found = []
+    starts = seeds.select("query_id", "node").distinct()
+    front, found = starts.withColumn("n", F.lit(1).cast("long")), []
     for k in range(1, hops + 1):
-        front = front.join(step, F.col("node") == F.col("_from")).groupBy("query_id", "start", F.col("_to").alias("node")).agg(F.sum("n").alias("n"))
-        found.append(front.select("query_id", "start", "node", F.lit(k).alias("hops"), "n"))
+        front = front.join(step, F.col("node") == F.col("_from")).groupBy("query_id", F.col("_to").alias("node")).agg(F.sum("n").alias("n"))
+        found.append(front.select("query_id", "node", F.lit(k).alias("hops"), "n"))
+    two = step.join(step.select(F.col("_from").alias("_to"), F.col("_to").alias("_third")), "_to") if hops > 1 else None
+    for k in range(2, hops + 1):
+        if k == 2:
+            closed = two.filter("_third = _from").select(F.col("_from").alias("node"))
+        else:
+            closed = two.join(step.select(F.col("_from").alias("_third"), F.col("_to").alias("_last")), "_third").filter("_last = _from").select(F.col("_from").alias("node"))
+        closed = closed.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        found.append(starts.join(closed, "node").select("query_id", "node", F.lit(k).alias("hops"), (-F.col("n")).alias("n")))
     if hops == 3:
-        back = found[0].join(step, (F.col("node") == F.col("_from")) & (F.col("start") == F.col("_to")))
-        found.append(back.select("query_id", "start", "node", F.lit(3).alias("hops"), F.lit(-1).cast("long").alias("n")))
-    every = reduce(DataFrame.unionAll, found).filter("node <> start")
-    return every.groupBy("query_id", "start", "node", "hops").agg(F.sum("n").alias("n")).filter("n > 0")
+        mutual = step.join(step.select(F.col("_to").alias("_from"), F.col("_from").alias("_to")), ["_from", "_to"])
+        back = starts.join(mutual, F.col("node") == F.col("_from")).groupBy("query_id", F.col("_to").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        found.append(back.select("query_id", "node", F.lit(3).alias("hops"), (-F.col("n")).alias("n")))
+    return reduce(DataFrame.unionAll, found).groupBy("query_id", "node", "hops").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -202,12 +213,23 @@ def validated(edges: DataFrame, group: str = "lecture_id") -> DataFrame:
 
 
 def distance_scores(mentions: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score: 3 for each chunk of an asked entity, 1.5 for a neighbour's, 0.5 for a second neighbour's (not the entity itself); parallel edges count."""
+    """query_id, chunk_id, score: 3 for each chunk of an asked entity, 1.5 for a neighbour's, 0.5 for a second neighbour's (not the entity itself); parallel edges count.
+
+    Weights are summed after each hop, so a query has one row for a node; ways back to
+    where they began are as many as the squares of a node's parallel edges.
+    """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-    one = asked.join(both.withColumnRenamed("a", "node"), "node").select("query_id", "node", F.col("b").alias("n1"))
-    two = one.join(both.withColumnRenamed("a", "n1"), "n1").filter("b <> node").select("query_id", F.col("b").alias("entity"), F.lit(0.5).alias("w"))
-    rows = asked.select("query_id", F.col("node").alias("entity"), F.lit(3.0).alias("w")).union(one.select("query_id", F.col("n1").alias("entity"), F.lit(1.5).alias("w"))).union(two)
-    rows = rows.groupBy("query_id", "entity").agg(F.sum("w").alias("w"))
+    both = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
+    starts = asked.groupBy("query_id", F.col("node").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+
+    def hop(front: DataFrame) -> DataFrame:
+        return front.join(both.withColumnRenamed("a", "entity"), "entity").groupBy("query_id", F.col("b").alias("entity")).agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+
+    one = hop(starts)
+    closed = both.groupBy(F.col("a").alias("entity")).agg(F.sum(F.col("m") * F.col("m")).alias("c"))
+    parts = [(starts, 3.0), (one, 1.5), (hop(one), 0.5), (starts.join(closed, "entity").select("query_id", "entity", (-F.col("n") * F.col("c")).alias("n")), 0.5)]
+    rows = reduce(DataFrame.unionAll, [d.select("query_id", "entity", (F.col("n") * w).alias("w")) for d, w in parts])
+    rows = rows.groupBy("query_id", "entity").agg(F.sum("w").alias("w")).filter("w > 0")
     return rows.join(mentions.withColumnRenamed("node", "entity"), "entity").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
 
 

@@ -20,18 +20,28 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("edge_id", F.col("src") * 1000000 + F.col("dst"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, name: every entity whose id is divisible by 20 asks for its name."""
+    return m.entities(spark, sf_dir).filter("entity_id % 20 = 0").select(F.col("entity_id").alias("query_id"), F.lower("name").alias("name"))
+
+
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every entity whose id is divisible by 20 asks, and is found by exact name."""
-    e = m.entities(spark, sf_dir)
-    asked = e.filter("entity_id % 20 = 0").select(F.col("entity_id").alias("query_id"), F.lower("name").alias("name"))
-    return asked.join(e.select(F.col("entity_id").alias("node"), F.lower("name").alias("name")), "name").select("query_id", "node")
+    """query_id, node: an asked name is one query, whoever asks it; exact matches are its seeds."""
+    e = m.entities(spark, sf_dir).select(F.col("entity_id").alias("node"), F.lower("name").alias("name"))
+    return e.join(_asked(spark, sf_dir).select("name").distinct(), "name").select(F.col("name").alias("query_id"), "node")
+
+
+def _for_all(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """The rows found for a name, for each that asks it."""
+    return found.withColumnRenamed("query_id", "name").join(_asked(spark, sf_dir), "name").drop("name")
 
 
 def graph_traverse_out_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds, e = _seeds(spark, sf_dir), _edges(spark, sf_dir)
     out = G.trail_counts(seeds, e).withColumn("direction", F.lit("out"))
     back = G.trail_counts(seeds, e, backward=True).withColumn("direction", F.lit("in"))
-    return out.union(back).groupBy("query_id", "node", "direction").agg(F.min("hops").alias("hops"), F.sum("n").alias("trails"))
+    found = out.union(back).groupBy("query_id", "node", "direction").agg(F.min("hops").alias("hops"), F.sum("n").alias("trails"))
+    return _for_all(spark, sf_dir, found).select("query_id", "node", "direction", "hops", "trails")
 
 
 def graph_partial_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +69,7 @@ def prereq_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of prerequisites that lead to a concept, each earlier concept at its least depth."""
     e = _edges(spark, sf_dir).filter("relation = 'PREREQUISITE_OF'")
     p = G.least_depth(G.simple_paths_back(_seeds(spark, sf_dir), e))
-    return p.groupBy("query_id", "node", "depth").agg(F.count(F.lit(1)).alias("paths"))
+    return _for_all(spark, sf_dir, p.groupBy("query_id", "node", "depth").agg(F.count(F.lit(1)).alias("paths"))).select("query_id", "node", "depth", "paths")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +129,7 @@ def graph_distance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = m.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("chunk_id")).distinct()
     s = G.distance_scores(li, _edges(spark, sf_dir), _seeds(spark, sf_dir))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("query_id", "chunk_id", "score", "rank")
+    return _for_all(spark, sf_dir, s.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")).select("query_id", "chunk_id", "score", "rank")
 
 
 def graph_lines_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +137,8 @@ def graph_lines_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, s = _edges(spark, sf_dir), _seeds(spark, sf_dir)
     near = s.join(e, F.col("node") == F.col("src")).union(s.join(e, F.col("node") == F.col("dst")))
     line = F.concat(F.col("src").cast("string"), F.lit(" --"), "relation", F.lit("--> "), F.col("dst").cast("string"))
-    return G.budgeted_lines(near.select("query_id", F.col("edge_id").alias("pos"), line.alias("line")), 600).select("query_id", "pos", "line", "used")
+    found = G.budgeted_lines(near.select("query_id", F.col("edge_id").alias("pos"), line.alias("line")), 600)
+    return _for_all(spark, sf_dir, found).select("query_id", "pos", "line", "used")
 
 
 def _triples(spark: SparkSession, sf_dir: str, column: str = "predicate") -> DataFrame:

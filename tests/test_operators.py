@@ -157,6 +157,17 @@ def test_trails_may_repeat_nodes_not_edges(spark):
     assert back == [(2, 1)]
 
 
+@pytest.mark.parametrize("backward", [False, True])
+def test_trail_counts_are_those_of_the_listed_trails(spark, backward):
+    rng = random.Random(6)
+    pairs = sorted({(rng.randrange(14), rng.randrange(14)) for _ in range(60)})
+    e = spark.createDataFrame([(a, b, 100 * a + b) for a, b in pairs if a != b], "src long, dst long, edge_id long")
+    s = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 5), (2, 99)], "query_id long, node long")
+    want = graph.trails(s, e, backward=backward).groupBy("query_id", "node", "hops").count().collect()
+    got = graph.trail_counts(s, e, backward=backward).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_context_stays_within_budget(spark):
     b = spark.createDataFrame([(1, i, float(i), 10.0 - i, chr(97 + i) * 90) for i in range(5)] + [(2, 9, 0.0, 1.0, "Long text. " * 50)], "query_id long, block_id long, ts double, score double, text string")
     got = context.filled(b, 300).collect()
