@@ -169,3 +169,9 @@ UNTITLED = "Untitled Segment"
 # Boilerplate in descriptions of slides.
 SLIDE_HEADER = r"(?i)###\s*Educational\s+Slide\s+Description\s*"
 SLIDE_BACKGROUND = r"(?i)####\s*Background\s*-\s*[^\n]+"
+
+# Verbs by which a sentence relates two things.
+RELATION_INDICATORS = (
+    r"(?i)\b(require|requires|used\s+in|uses|work\s+using|operates\s+on|creates|induce|induces|emits|guides|reduce|reduces|heats\s+up|"
+    r"increase|increases|decrease|decreases|caused\s+by|disturbs|forces|means\s+that|known\s+as|loss|connect|connected|wired)\b"
+)

@@ -86,7 +86,7 @@ def source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prerequisite_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of the scored prerequisites, by kind."""
-    s = knowledge._scored(spark, sf_dir)
+    s = knowledge.scored_pairs(spark, sf_dir)
     names = m.entities(spark, sf_dir)
     s = s.join(names.select(F.col("entity_id").alias("src"), F.col("name").alias("src_name")), "src").join(names.select(F.col("entity_id").alias("dst"), F.col("name").alias("dst_name")), "dst")
     s = s.withColumn("discourse", F.when((F.col("src") + F.col("dst")) % 11 == 0, 0.9).otherwise(0.0))

@@ -92,25 +92,25 @@ def prereq_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("graph"), 6).alias("graph"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _candidates(spark, sf_dir)
     cue = F.when((F.col("src") + F.col("dst")) % 11 == 0, 0.9).otherwise(0.0)
     return c.withColumn("confidence", G.confidence(cue, F.col("graph"), F.col("src") % 5 == 0, F.col("t_src") < 3000, F.col("t_src"), F.col("t_dst")))
 
 
 def prereq_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).filter("confidence >= 0.65").select("src", "dst", "graph", F.round("confidence", 4).alias("confidence"))
+    return scored_pairs(spark, sf_dir).filter("confidence >= 0.65").select("src", "dst", "graph", F.round("confidence", 4).alias("confidence"))
 
 
 def dag_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All prerequisites without their cycles; the parts are one lecture (0), as cycles run through any of them."""
-    e = _scored(spark, sf_dir).filter("confidence >= 0.65").select(F.lit(0).cast("long").alias("lecture_id"), "src", "dst", "confidence")
+    e = scored_pairs(spark, sf_dir).filter("confidence >= 0.65").select(F.lit(0).cast("long").alias("lecture_id"), "src", "dst", "confidence")
     return G.acyclic(e)
 
 
 def dag_is_acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges on or behind cycles before and after dag_enforced."""
-    before = _scored(spark, sf_dir).filter("confidence >= 0.65").select(F.lit(0).cast("long").alias("lecture_id"), "src", "dst", "confidence")
+    before = scored_pairs(spark, sf_dir).filter("confidence >= 0.65").select(F.lit(0).cast("long").alias("lecture_id"), "src", "dst", "confidence")
     return G.validated(before).withColumn("enforced", F.lit(False)).union(G.validated(G.acyclic(before)).withColumn("enforced", F.lit(True))).select("enforced", "edges", "on_cycles")
 
 

@@ -32,7 +32,7 @@ def test_acyclic_on_random_graphs(spark):
 
 
 def test_dag_enforced_takes_every_scored_edge(spark):
-    scored = [tuple(r) for r in knowledge._scored(spark, SF).filter("confidence >= 0.65").select("confidence", "src", "dst").collect()]
+    scored = [tuple(r) for r in knowledge.scored_pairs(spark, SF).filter("confidence >= 0.65").select("confidence", "src", "dst").collect()]
     got = knowledge.dag_enforced(spark, SF).collect()
     assert {(r["src"], r["dst"]) for r in got} == greedy(scored)
     assert any(r["src"] % 40 != r["dst"] % 40 for r in got)
