@@ -14,8 +14,9 @@ vector and a spanning forest, not pairs; a pair that meets more than once counts
 only at its first meeting, which both vectors' cells tell.
 
 Defined results: a null, empty or zero vector, one with null or non-finite
-components, and one with a null label or id, has no link, is its own component
-(null for a null id) and is kept.  Vectors of different length are never compared.
+components, and one with a null label, has no link, is its own component
+(null for a null id) and is kept.  A vector without an id links like any other; its component has
+the least id that there is, null if there is none, and it is kept only then.  Vectors of different length are never compared.
 Repeated rows are linked with each other.
 """
 
@@ -100,9 +101,9 @@ def _read(vectors: DataFrame) -> DataFrame:
         for batch in batches:
             ids, labels = batch["vec_id"], batch["label"].to_pylist()
             same, group, data = [], [], []
-            for i, label, item in zip(ids.to_pylist(), labels, batch["embedding"], strict=True):
+            for label, item in zip(labels, batch["embedding"], strict=True):
                 v = item.values
-                ok = i is not None and label is not None and item.is_valid and len(v) and not v.null_count
+                ok = label is not None and item.is_valid and len(v) and not v.null_count
                 if ok:
                     x = v.to_numpy(zero_copy_only=False).astype(np.float64)
                     with np.errstate(over="ignore"):
@@ -251,4 +252,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     own = own.join(least, "component").select("same", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", "same").join(own, "same", "left")
     component = F.when(F.col("same").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

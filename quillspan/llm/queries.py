@@ -47,14 +47,14 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_embedding_neardup"] = f"""
 with recursive v as (
   select row_number() over () as r, vec_id, label, embedding::double[] as e,
-         vec_id is not null and label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok
+         label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok
   from embeddings),
 u as (select r, vec_id, label, len(e) as d, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as e from v where ok),
 p as materialized (select a.r as a, b.r as b from u a join u b on a.label = b.label and a.d = b.d and a.r <> b.r where list_inner_product(a.e, b.e) >= {lattice.THRESHOLD}),
 reach as (select r as a, r as b from v union select reach.a, p.b from reach join p on reach.b = p.a),
 c as (select reach.a, min(v.vec_id) as component_id from reach join v on v.r = reach.b group by reach.a),
 n as (select a, count(*) as n_links from p group by a)
-select v.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, coalesce(v.vec_id = component_id, true) as kept
+select v.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, v.vec_id is not distinct from component_id as kept
 from v join c on c.a = v.r left join n on n.a = v.r
 """
 
