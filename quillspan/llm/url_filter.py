@@ -3,8 +3,11 @@
 Host and path come from the text of the URL.  The longest rule that fits decides;
 URLs that a rule decides are the labelled ones.  The trees learn from them lexical
 features, each in a few fixed bins: length, path depth, digit ratio, entropy,
-number of parameters, and the share of blocked URLs among the labelled ones with
-the same last label and the same last two labels of the host.
+number of parameters, and how much is blocked among the labelled URLs with
+the same last label and the same last two labels of the host.  These two statistics
+say what rules say, and rules are few: each rule counts once, the share of all
+rules' URLs is one rule more, a labelled URL's statistics come from the hosts of the other fold
+only, and only every third tree may use them.
 
 All labelled URLs are used: they are first summed into cells of equal bins (there
 are at most as many cells as combinations of bins, whatever the table's size), and
@@ -39,6 +42,8 @@ EDGES = {
     "domain": [0.05, 0.2, 0.4, 0.6, 0.8, 0.95],
 }
 TREES, DEPTH, RATE, RIDGE = 12, 3, 0.4, 1.0
+#: Features that rest on the rules themselves, and how often a tree may use them.
+STATED, STATED_EVERY = ("suffix", "domain"), 3
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -118,11 +123,11 @@ class BoostedTrees:
         self.base = math.log((blocked + 0.5) / (n - blocked + 0.5))
         if not 0 < blocked < n:
             return self
-        for _ in range(self.trees):
-            self.grown.append(self._tree(cells))
+        for k in range(self.trees):
+            self.grown.append(self._tree(cells, [f for f in self.features if f not in STATED or k % STATED_EVERY == 0]))
         return self
 
-    def _tree(self, cells: DataFrame):
+    def _tree(self, cells: DataFrame, features: list[str]):
         p = 1.0 / (1.0 + F.exp(-self.margin()))
         g = cells.withColumn("_g", F.col("blocked") - F.col("n") * p).withColumn("_h", F.col("n") * p * (1 - p))
         splits: dict[int, tuple[str, int]] = {}
@@ -133,7 +138,7 @@ class BoostedTrees:
             for k in sorted(splits):
                 f, b = splits[k]
                 node = F.when(node == k, F.when(F.col(f"_{f}_bin") <= b, 2 * k).otherwise(2 * k + 1)).otherwise(node)
-            bins = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"_{f}_bin").alias("b")) for f in self.features])).alias("_x")
+            bins = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"_{f}_bin").alias("b")) for f in features])).alias("_x")
             found = g.select(node.alias("_node"), "_g", "_h", bins).filter(F.col("_node").isin(level)).groupBy("_node", "_x.f", "_x.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
             following = []
             for k in level:
@@ -174,6 +179,25 @@ class BoostedTrees:
         return best
 
 
+#: Not a fold: statistics of all labelled URLs.
+ALL = -1
+
+
+def fold(host: Column) -> Column:
+    return (F.crc32(host.cast("binary")) % 2).cast("int")
+
+
+def stated_rates(labelled: DataFrame, key: str) -> tuple[DataFrame, float]:
+    """(key, _fold, _rate): what rules say of a value of key, for those of a fold by the URLs of the other fold, for ALL by all; and the rate of all rules.
+
+    A rule counts as the share of its own URLs that are blocked, 0 or 1.
+    """
+    rules = cut(labelled.withColumn("_for", F.explode(F.array(1 - F.col("_fold"), F.lit(ALL)))).groupBy(key, "_for", "rule").agg(F.avg("_y").alias("share")), "url-rules")
+    prior = rules.filter(F.col("_for") == ALL).groupBy("rule").agg(F.avg("share").alias("share")).agg(F.avg("share")).first()[0]
+    prior = 0.5 if prior is None else prior
+    return rules.groupBy(key, F.col("_for").alias("_fold")).agg(((F.sum("share") + prior) / (F.count(F.lit(1)) + 1.0)).alias("_rate")), prior
+
+
 def judge(pages: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """One row for each row of pages (page_id, url): page_id, host, path, rule, verdict, block_score (the trees' probability of block)."""
     rules = RULES if rules is None else rules
@@ -181,13 +205,12 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     p = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
     verdicts = F.create_map(*[F.lit(x) for r in rules.items() for x in r]) if rules else F.create_map().cast("map<string,string>")
     p = p.withColumn("_ruled", F.when(F.col("rule").isNotNull(), F.element_at(verdicts, F.col("rule"))))
-    d = cut(with_features(p).drop("url"), "url-features")
+    d = cut(with_features(p).withColumn("_fold", F.when(F.col("_ruled").isNotNull(), fold(F.col("host"))).otherwise(ALL)).drop("url"), "url-features")
+    labelled = d.filter(F.col("_ruled").isNotNull()).withColumn("_y", F.when(F.col("_ruled") == BLOCK, 1).otherwise(0))
+    for key in STATED:
+        rates, prior = stated_rates(labelled, f"_{key}")
+        d = d.join(rates, [f"_{key}", "_fold"], "left").withColumn(f"_{key}_bin", binned(F.coalesce("_rate", F.lit(prior)), EDGES[key])).drop("_rate")
     labelled = d.filter(F.col("_ruled").isNotNull()).withColumn("_y", F.when(F.col("_ruled") == BLOCK, 1).otherwise(0))
-    for key in ("suffix", "domain"):
-        rate = ((F.sum("_y") + 0.5) / (F.count(F.lit(1)) + 1.0)).alias("_rate")
-        rates = cut(labelled.groupBy(f"_{key}").agg(rate), f"url-{key}")
-        known = lambda frame, rates=rates, key=key: frame.join(rates, f"_{key}", "left").withColumn(f"_{key}_bin", binned(F.coalesce("_rate", F.lit(0.5)), EDGES[key])).drop("_rate")
-        d, labelled = known(d), known(labelled)
     bins = [f"_{f}_bin" for f in EDGES]
     cells = cut(labelled.groupBy(*bins).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("blocked")), "url-cells")
     model = BoostedTrees(list(EDGES)).fit(cells)
