@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -289,16 +289,27 @@ def predictor(spark, model: ChainCRF, name: str):
     return predict.asNondeterministic()  # else a filter and a projection would each run it
 
 
+def labelled_sample(docs: DataFrame, per_language: int = 150, most_rows: int = 9600, most_chars: int = 4_000_000) -> DataFrame:
+    """text, lang: at most per_language texts of each language that may be learned from, about most_rows in all, of at most most_chars characters a language (but one text).
+
+    Of rows with one id, null included, the text of the least hash stands for all.
+    """
+    labelled = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1))
+    chosen = sampled_per_class(labelled, "lang", "doc_id", per_language, most_rows).withColumnsRenamed({"lang": "_lang", "doc_id": "_id"})
+    rows = labelled.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")))  # at most most_rows, or one a language
+    one = rows.groupBy("lang", "doc_id", "_share").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("_least")).select("lang", "_share", F.col("_least.t").alias("text"))
+    until = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("_share", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return one.withColumn("_until", until).filter((F.col("_until") <= most_chars) | (F.col("_until") == F.length("text"))).select("text", "lang")
+
+
 def train(docs: DataFrame, per_language: int = 150, most_rows: int = 9600, **options) -> ChainCRF:
-    """Fit the CRF on a bounded sample: about per_language labelled texts of each language, chosen by a hash of doc_id.
+    """Fit the CRF on labelled_sample(): a bounded number of whole texts of each language.
 
     Every language is learned; with more than most_rows / per_language of them each has
-    fewer texts (at least about one).  Rows whose crc32(doc_id) mod 3 is 1, and rows
+    fewer texts, at least one.  Rows whose crc32(doc_id) mod 3 is 1, and rows
     without text or language, are never learned from.
     """
-    labelled = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1))
-    rows = sampled_per_class(labelled, "lang", F.col("doc_id"), per_language, most_rows).select("text", "lang").collect()
-    rows.sort()
+    rows = sorted(labelled_sample(docs, per_language, most_rows).collect())
     return ChainCRF.train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -197,16 +197,22 @@ def chunks_of(texts: Iterable[str | None], most_words: int = 500_000, split: Cal
         yield len(counts), words, np.array(counts, np.int64)
 
 
-def sampled_per_class(df: DataFrame, label: str, key: Column, per_class: int, most_rows: int | None = None) -> DataFrame:
-    """About per_class rows of each value of label, by a hash of key: no sort, no group in one task.
+def sampled_per_class(df: DataFrame, label: str, key: str, per_class: int, most_rows: int | None = None) -> DataFrame:
+    """At most per_class keys of each value of label, those of the least hashes: label, key, _share.
 
-    With many values each has fewer, at least one, so that about most_rows come out
-    and no value is left out.  One number for each value goes to the driver.
+    Rows of one label and key count as one, whatever their number, so the sample is
+    bounded by keys and not by rows, and null is a key too.  With many values each has fewer, at
+    least one, so that about most_rows come out and no value is left out.  Only keys that can be among the
+    least are ranked; one line for each value goes to the driver.
     """
-    counts = [(r[0], r[1]) for r in df.groupBy(label).count().collect()]
+    share = (F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)).alias("_share")
+    keys = df.select(label, key).distinct().select(label, key, share)
+    counts = [tuple(r) for r in keys.groupBy(label).agg(F.count(F.lit(1)), F.min("_share")).collect()]
     if not counts:
-        return df.limit(0)
+        return keys.limit(0)
     most = min(per_class, max(1, most_rows // len(counts))) if most_rows else per_class
-    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    rates = df.sparkSession.createDataFrame([(v, most / c) for v, c in counts], f"_label {df.schema[label].dataType.simpleString()}, _rate double")
-    return df.join(F.broadcast(rates), F.col(label) == F.col("_label")).filter(share < F.col("_rate")).select(*df.columns)
+    # some four times as many as wanted, the least one always
+    limits = df.sparkSession.createDataFrame([(v, max(4.0 * most / c, least)) for v, c, least in counts], f"_label {df.schema[label].dataType.simpleString()}, _limit double")
+    able = keys.join(F.broadcast(limits), F.col(label).eqNullSafe(F.col("_label"))).filter(F.col("_share") <= F.col("_limit")).drop("_label", "_limit")
+    nth = F.row_number().over(Window.partitionBy(label).orderBy("_share", key))
+    return able.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_nth")

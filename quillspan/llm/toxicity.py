@@ -190,15 +190,16 @@ def predictor(spark, model: OrdinalModel):
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_features: int = 100_000, grades: int = 3, steps: int = 1500) -> OrdinalModel:
-    """Fit on a bounded sample: about per_class texts of each grade, chosen by a hash of doc_id, and the most_features most frequent features of toxic ones.
+    """Fit on a bounded sample: at most per_class texts of each grade, chosen by a hash of doc_id (one text for each id), and the most_features most frequent features of toxic ones.
 
     A document labelled more than once has its highest label; null ids and labels are left out.
     """
     one = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.greatest(F.max(F.col("toxic").cast("int")), F.lit(0)).alias("toxic"))
-    chosen = sampled_per_class(one, "toxic", F.col("doc_id"), per_class)
+    chosen = sampled_per_class(one, "toxic", "doc_id", per_class).select("doc_id", "toxic")
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int").alias("fold")
-    # chosen: some per_class rows of two integers for each grade
-    sample = cut(docs.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").select("text", "toxic", fold), "labelled")
+    # chosen: at most per_class rows of two integers for each grade; of rows with one id one is learned from
+    labelled = docs.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    sample = cut(labelled.select("text", "toxic", fold), "labelled")
     rows = {(r["toxic"], r["fold"]): r["count"] for r in sample.groupBy("toxic", "fold").count().collect()}
     n = lambda toxic, folds: sum(c for (t, f), c in rows.items() if (t > 0) == toxic and f in folds)
     if not n(True, (0, 1)) or not n(False, (0, 1)):

@@ -83,13 +83,31 @@ def test_embeddings(spark):
     got = rows(lattice.near_duplicates(d))
     assert len(got) == len(v)
     by = {r["vec_id"]: r for r in got}
-    assert [by[i]["n_links"] for i in (1, 2, 3)] == [3, 3, 3] and by[3]["component_id"] == 1 and by[1]["kept"]
+    assert [by[i]["n_links"] for i in (1, 2, 3)] == [4, 4, 4] and by[3]["component_id"] == 1 and by[1]["kept"]
     for i in (4, 5, 6, 7, 8, 9, 10, 11, 12):
         assert (by[i]["n_links"], by[i]["component_id"], by[i]["kept"]) == (0, i, True)
-    assert (by[None]["n_links"], by[None]["component_id"]) == (0, None)
+    assert (by[None]["n_links"], by[None]["component_id"], by[None]["kept"]) == (4, 1, False)
+    nameless = rows(lattice.near_duplicates(d.withColumn("vec_id", F.lit(None).cast("long"))))
+    assert {(r["n_links"], r["component_id"], r["kept"]) for r in nameless} == {(0, None, True), (4, None, True)}
     assert rows(lattice.near_duplicates(d.limit(0))) == []
 
 
+@pytest.mark.parametrize("ids", [None, 7])
+def test_samples_where_all_rows_share_an_id(spark, ids):
+    n = 20_000 if ids is None else 2_000
+    d = spark.range(n).select(F.lit(ids).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    kind = "doc_id long, text string, lang string"
+    some = d.union(spark.createDataFrame([(20, "ein Wort", "de"), (None, "un mot", "fr"), (None, "un mot", "fr")], kind))
+    got = [tuple(r) for r in language_id.labelled_sample(some).collect()]
+    assert sorted(g[1] for g in got) == ["de", "en", "fr"]
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").cast("string").alias("lang"))
+    assert 1900 < language_id.labelled_sample(many, 150, 100).select("lang").distinct().count() <= 2000  # two thirds may be learned from: no language is left out
+    long = language_id.labelled_sample(spark.createDataFrame([(i, "long " * 1000, "en") for i in range(50)], kind), most_chars=20_000)
+    assert 1 <= long.count() <= 4
+    graded = toxicity.train(some.withColumn("text", F.concat("text", F.lit(" awful"))), spark.createDataFrame([(7, 1, 1), (20, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert graded is not None
+
+
 def test_mixing(docs, none):
     got = rows(mixing.mix(docs))
     assert len(got) == len(TEXTS)
