@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from quillspan.functions import fixed
 
@@ -46,43 +41,6 @@ def query_entities(query: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(named, words)))
 
 
-def query_stem(word: str) -> str:
-    w = word.lower().strip()
-    if len(w) <= 3:
-        return w
-    if w.endswith("ies"):
-        return w[:-3] + "y"
-    if w.endswith(("ses", "xes", "ches", "shes")):
-        return w[:-2]
-    return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
-
-
-def name_score(query_tokens: list[str], name: str) -> float:
-    """How well a name fits a query: 1 if all its stems are asked, 0.7 and more if some of several are, else alikeness of letters above a limit, or 0."""
-    own = [t for t in re.findall("[a-z0-9]+", name.lower()) if t not in fixed.ENTITY_STOPWORDS and len(t) >= 2]
-    if not own:
-        return 0.0
-    stems, asked = {query_stem(t) for t in own}, {query_stem(t) for t in query_tokens}
-    recall = len(stems & asked) / len(stems)
-    if recall == 1.0:
-        return 1.0
-    if recall and len(stems) > 1:
-        return 0.70 + 0.30 * recall
-    alike = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
-    best = [max((alike(q, t) for q in query_tokens), default=0.0) for t in own]
-    if len(own) == 1:
-        return best[0] if best[0] >= 0.82 else 0.0
-    score = max(sum(best) / len(best), alike(" ".join(own), " ".join(query_tokens)))
-    return score if score >= 0.72 else 0.0
-
-
-@pandas_udf(DoubleType())
-def fuzzy_score(query: pd.Series, name: pd.Series) -> pd.Series:
-    """name_score of the significant tokens of a query."""
-    tokens = lambda q: [t for t in re.findall("[a-z0-9]+", (q or "").lower()) if t not in fixed.ENTITY_STOPWORDS and len(t) >= 2]
-    return pd.Series([name_score(tokens(q), n or "") for q, n in zip(query, name, strict=True)], dtype=float)
-
-
 def refused(answer: Column, phrases: list[str] | None = None) -> Column:
     """Whether an answer says that it can't answer; the phrases are a parameter."""
     a, out = F.lower(F.coalesce(answer, F.lit(""))), F.lit(False)

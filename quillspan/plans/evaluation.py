@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.fixed import ANSWER_STOPWORDS
 from quillspan.operators import lexical, metrics
+from quillspan.operators.containment import contained
 from quillspan.plans import mapping as m
 from quillspan.plans.retrieval import _RANK, _bm25_sql
 
@@ -18,7 +19,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The second to sixth words of an item stand as whole words in any document that
     contains it, so pairs are found by an equal run of five words and then tested;
-    only items of under seven words are compared with all.
+    items of under seven words are looked for by their rarest run of characters.  An empty item has no passage.
     """
     b = m.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).filter("item is not null")
     words = F.split("item", "\\s+")
@@ -27,8 +28,9 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " ")))
     keys = d.select("chunk_id", F.explode(F.array_distinct(F.transform(F.array(F.split("text", "\\s+")), runs)[0])).alias("key"))
     near = keys.join(b.filter("key is not null"), "key").join(d, "chunk_id").filter(F.contains("text", "item"))
-    short = d.join(b.filter("key is null"), F.contains("text", "item"))
-    return near.select("query_id", "chunk_id").union(short.select("query_id", "chunk_id")).distinct()
+    few = contained(d.withColumnRenamed("chunk_id", "text_id"), b.filter("key is null").select(F.col("item").alias("name")))
+    short = few.join(b.withColumnRenamed("item", "name"), "name").select("query_id", F.col("text_id").alias("chunk_id"))
+    return near.select("query_id", "chunk_id").union(short).distinct()
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +186,7 @@ _ALL_DOCS = "(select 'all' as lecture_id, doc_id as chunk_id, text from document
 _ALL_Q = "(select item_id as query_id, 'all' as lecture_id, text as query from benchmark)"
 _SAMPLES = f"""{_bm25_sql(_ALL_DOCS, _ALL_Q)},
   top as materialized (select * from (select *, {_RANK} as rank from sc) where rank <= {K}),
-  gold as materialized (select item_id as query_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text)),
+  gold as materialized (select item_id as query_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text) and b.text <> ''),
   ne as (select query_id, count(*) as n_gold from gold group by 1),
   nr as (select query_id, count(*) as n_ret from top group by 1),
   hits as materialized (select query_id, rank from top join gold using (query_id, chunk_id)),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import fixed
 from quillspan.operators import context as C
 from quillspan.operators import extraction as E
+from quillspan.operators import fuzzy
 from quillspan.plans import curation, knowledge
 from quillspan.plans import mapping as m
 
@@ -34,10 +35,8 @@ def fuzzy_entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions on parts: the three best of all names.  Every id divisible by 20 asks."""
     e = m.entities(spark, sf_dir).select("entity_id", "name")
     q = e.filter("entity_id % 20 = 0").select(F.col("entity_id").alias("query_id"), F.concat(F.lit("what is the "), F.lower("name"), F.lit("s like")).alias("asked"))
-    pairs = q.crossJoin(e.select("entity_id", "name"))
-    s = pairs.withColumn("score", F.round(E.fuzzy_score("asked", "name"), 6)).filter("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "entity_id")
-    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("query_id", "entity_id", "score", "rank")
+    found = fuzzy.best_names(q.withColumnRenamed("asked", "query"), e.withColumnRenamed("entity_id", "node"))
+    return found.select("query_id", F.col("node").alias("entity_id"), "score", "rank")
 
 
 def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import fixed
 from quillspan.functions import text as X
-from quillspan.operators import extraction as E
+from quillspan.operators import fuzzy
 from quillspan.operators import graph as G
+from quillspan.operators.containment import contained
 from quillspan.plans import mapping as m
 
 
@@ -50,7 +51,8 @@ def graph_partial_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = e.filter("node % 20 = 0").select(F.col("node").alias("query_id"), F.element_at(F.split("name", "[^a-z0-9]+"), -1).alias("term")).filter("length(term) > 0")
     # a term is looked for once, whoever asks it
     terms = asked.select("term").distinct().join(e, F.col("term") == F.col("name"), "left_anti")
-    part = terms.join(e, F.contains("name", "term")).select("term", "node")
+    found = contained(e.select(F.col("name").alias("text_id"), F.col("name").alias("text")).distinct(), terms.select(F.col("term").alias("name")))
+    part = found.select(F.col("name").alias("term"), F.col("text_id").alias("name")).join(e, "name").select("term", "node")
     near = part.join(_edges(spark, sf_dir).select(F.col("src").alias("node"), "dst"), "node", "left")
     by_term = near.groupBy("term").agg(F.countDistinct("node").alias("seeds"), F.countDistinct("dst").alias("neighbours"))
     return asked.join(by_term, "term").select("query_id", "seeds", "neighbours")
@@ -60,9 +62,7 @@ def graph_fuzzy_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misspelt names: the three entities of the best fuzzy scores (X14), ties by name.  Every id divisible by 20 asks all names."""
     e = m.entities(spark, sf_dir).select(F.col("entity_id").alias("node"), F.lower("name").alias("name"))
     q = e.filter("node % 20 = 0").select(F.col("node").alias("query_id"), F.concat(F.substring("name", 1, 3), F.lit("x"), F.expr("substring(name, 5)")).alias("asked"))
-    p = q.crossJoin(e).withColumn("score", F.round(E.fuzzy_score("asked", "name"), 6)).filter("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "node")
-    return p.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("query_id", "node", "score", "rank")
+    return fuzzy.best_names(q.withColumnRenamed("asked", "query"), e).select("query_id", "node", "score", "rank")
 
 
 def prereq_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,9 +203,6 @@ def test_names_and_types(spark):
         assert one(spark, E.entity_type(F.lit(raw))) == want
     assert one(spark, E.relation_type(F.lit(" used_by"))) == "USED_BY" and one(spark, E.relation_type(F.lit("modifies"))) is None
     assert one(spark, E.query_entities(F.lit("What is Virtual Memory and BFS"))) == ["BFS", "Virtual Memory", "bfs", "memory", "virtual"]
-    assert E.name_score(["processes"], "Process") == 1.0
-    assert E.name_score(["process"], "Process Abstraction") == pytest.approx(0.85)
-    assert E.name_score(["dijsktra"], "Dijkstra") > 0.82 and E.name_score(["paging"], "Entropy") == 0.0
     assert one(spark, E.refused(F.lit("I CANNOT ANSWER that"))) and not one(spark, E.refused(F.lit("yes")))
 
 
