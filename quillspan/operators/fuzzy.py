@@ -95,13 +95,18 @@ def phrase_scores(asked: DataFrame, own: DataFrame) -> DataFrame:
     return by_stem.union(pairs.select("asked", "own", score.alias("score")).filter("score is not null"))
 
 
-def best_names(queries: DataFrame, names: DataFrame, k: int = 3, least: float = 0.0) -> DataFrame:
-    """query_id, node, score, rank: the k best nodes of each query (query_id, query) among names (node, name), above `least`; scores to six digits, ties by name and node."""
-    q = queries.select("query_id", F.array_join(significant(F.col("query")), " ").alias("asked"))
-    n = names.select("node", "name", F.array_join(significant(F.col("name")), " ").alias("own"))
+def best_names(queries: DataFrame, names: DataFrame, k: int = 3, least: float = 0.0, within: list[str] | None = None) -> DataFrame:
+    """query_id, node, name, score, rank: the k best nodes of each query (query_id, query) among names (node, name), from `least` on; scores to six digits, ties by name and node.
+
+    `within`: columns of both that have to be equal, as a tenant.
+    """
+    keys = list(within or [])
+    q = queries.select(*keys, "query_id", F.array_join(significant(F.col("query")), " ").alias("asked"))
+    n = names.select(*keys, "node", "name", F.array_join(significant(F.col("name")), " ").alias("own"))
     # of equal phrases only the first k can be among the best
-    n = n.withColumn("_r", F.row_number().over(Window.partitionBy("own").orderBy("name", "node"))).filter(F.col("_r") <= k).drop("_r")
+    n = n.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "own").orderBy("name", "node"))).filter(F.col("_r") <= k).drop("_r")
     s = phrase_scores(q.select("asked").distinct(), n.select("own").distinct()).withColumn("score", F.round("score", 6)).filter((F.col("score") > 0) & (F.col("score") >= least))
-    w = Window.partitionBy("asked").orderBy(F.desc("score"), "name", "node")
-    best = s.join(n, "own").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return q.join(best, "asked").select("query_id", "node", "name", "score", "rank")
+    w = Window.partitionBy(*keys, "asked").orderBy(F.desc("score"), "name", "node")
+    both = s.join(q.select(*keys, "asked").distinct(), "asked").join(n, [*keys, "own"])
+    best = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return q.join(best, [*keys, "asked"]).select("query_id", "node", "name", "score", "rank")
