@@ -175,3 +175,30 @@ RELATION_INDICATORS = (
     r"(?i)\b(require|requires|used\s+in|uses|work\s+using|operates\s+on|creates|induce|induces|emits|guides|reduce|reduces|heats\s+up|"
     r"increase|increases|decrease|decreases|caused\s+by|disturbs|forces|means\s+that|known\s+as|loss|connect|connected|wired)\b"
 )
+
+# How clauses begin, what they hold, and a sentence end inside a name.
+CLAUSE_PATTERNS = [
+    r"(?i)^(us\s+a|and\s+then|this\s+means|because\s+the|which\s+means|gives\s+us|so\s+that|therefore\s+we|to\s+fix|now\s+the|we\s+will|that\s+is|due\s+to)\b",
+    r"(?i)\b(is\s+important\s+because|can\s+only\s+work|will\s+be\s+able\s+to|referring\s+to|known\s+as)\b",
+    r"[\.!\?]\s+[A-Z]",
+]
+
+# Words without a topic, marks of boilerplate on slides, and how captions without a topic begin.
+TITLE_STOPWORDS = (
+    "the and of to in on for with that this is are was were be been being a an as at by from or but not so if then than there their they "
+    "them we you your it its what which who whom when where why how do does did have has had can could will would should may might must "
+    "about into over under again once here all any both each few more most other some such only own same too very just also well really "
+    "actually basically okay ok um uh yeah right like kind sort thing things one two three let lets going gonna want need talk talking say "
+    "said says see look looking lecture lectures today guys everyone welcome thank thanks question questions answer answers example "
+    "examples maybe even still much back now always never sometimes usually often next last part section slide slides page chapter module course"
+).split()
+SLIDE_BOILERPLATE = [
+    "subscribe", "notification", "share", "watching", "thank you", "parental", "permission", "adults", "copyright", "disclaimer", "bell",
+    "watermark", "logo", "channel", "like this", "comment",
+]
+CAPTION_OPENERS = [
+    "the image", "this image", "the picture", "this picture", "image of", "this appears", "the screenshot", "this screenshot", "the photo",
+    "educational slide", "this slide", "the slide", "a slide", "description", "key objects", "key concepts", "key points", "main points",
+    "overview of", "this diagram", "the diagram", "a diagram", "the figure",
+]
+CAPTION_WORDS = "images pictures photos screenshots figures shows shown showing contains including appear appears".split()

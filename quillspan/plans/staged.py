@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators import recovery as R
 from quillspan.operators import staged as S
 from quillspan.plans import mapping as m
+from quillspan.sources.scratch import written
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +54,37 @@ def query_prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.query_prerequisites(questions(spark, sf_dir), graph_staged_seeds(spark, sf_dir), entities(spark, sf_dir), e)
 
 
-QUERIES = {f.__name__: f for f in (graph_staged_seeds, graph_staged_results, query_prerequisites)}
+def heldout_gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions with hops, gold edges, subjects) on parts: what leaves a part has to be found, with a wrong type for every third; without any, the question has no answer, and the part and the next of its lecture shouldn't be joined."""
+    e, names = edges(spark, sf_dir), entities(spark, sf_dir)
+    q = questions(spark, sf_dir).select("query_id", "lecture_id")
+    name = lambda c, to: names.select(F.col("node").alias(c), F.col("name").alias(to))
+    out = q.join(e.withColumnRenamed("src", "query_id"), ["query_id", "lecture_id"])
+    kind = F.when(F.col("query_id") / 20 % 3 == 2, "CAUSES").otherwise(F.col("relation"))
+    gold = out.join(name("query_id", "source"), "query_id").join(name("dst", "target"), "dst").select("query_id", "source", kind.alias("relation"), "target").distinct()
+    hops = gold.groupBy("query_id").agg(F.least(F.lit(3), F.count(F.lit(1))).cast("int").alias("hop"))
+    asked = q.join(hops, "query_id", "left").select("query_id", "hop")
+    following = names.withColumn("_next", F.lead("name").over(Window.partitionBy("lecture_id").orderBy("node")))
+    none = asked.filter("hop is null").join(following.withColumnRenamed("node", "query_id"), "query_id")
+    return asked, gold, none.select("query_id", F.explode(F.array("name", "_next")).alias("name")).dropna()
+
+
+def _heldout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    asked, gold, subjects = heldout_gold(spark, sf_dir)
+    e = written(edges(spark, sf_dir), "edges")
+    rows = written(R.path_rows(graph_staged_seeds(spark, sf_dir).select("query_id", "node"), e, entities(spark, sf_dir)), "path-rows")
+    return asked, R.recovered_paths(gold, rows), R.false_paths(subjects, rows)
+
+
+def heldout_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every question, whether its gold path is found, or a false one."""
+    asked, found, false = _heldout(spark, sf_dir)
+    return asked.join(found, "query_id", "left").join(false, "query_id", "left")
+
+
+def heldout_hop_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.hop_rates(*_heldout(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (graph_staged_seeds, graph_staged_results, query_prerequisites, heldout_paths, heldout_hop_rates)}
 ORACLES: dict[str, str] = {}

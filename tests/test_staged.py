@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillspan.operators import extraction, staged
+from quillspan.operators import extraction, recovery, staged
 from quillspan.plans import staged as plans
 from tests.test_whole_fuzzy import best, score
 
@@ -157,6 +157,46 @@ def test_prerequisites_of_a_branching_graph(spark):
     assert {r.depth for r in got if r.concept == "Threads"} == {1, 2, 3}
 
 
+def test_recovered_and_false_paths(spark):
+    names = [(i, n) for i, n in enumerate("Cache Page Disk Frame Table".split())]
+    edges = [(0, 1, 1, "USED_BY"), (1, 2, 2, "EXPLAINS"), (3, 2, 3, "USED_BY"), (2, 0, 4, "DERIVED_FROM")]
+    e = spark.createDataFrame(edges, "src long, dst long, edge_id long, relation string")
+    rows = recovery.path_rows(spark.createDataFrame([(1, 0), (2, 2), (3, 4), (4, 0)], "query_id long, node long"), e, spark.createDataFrame(names, "node long, name string"))
+    seen = {(r.query_id, r.start_name, r.related_name, tuple(r.rel_types)) for r in rows.collect()}
+    assert (1, "Cache", "Disk", ("EXPLAINS", "USED_BY")) in seen and not [r for r in seen if r[0] == 3]
+    gold = [(1, "page", "used_by", "CACHE"), (1, "Cache", "EXPLAINS", "disk"), (2, "Disk", "USED_BY", "Frame"), (2, "Disk", "EXPLAINS", "Table"), (3, "Table", "EXPLAINS", "Page"), (4, "Cache", "USED", "Page")]
+    found = recovery.recovered_paths(spark.createDataFrame(gold, "query_id long, source string, relation string, target string"), rows)
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 2, True), (2, 2, 1, False), (3, 1, 0, False), (4, 1, 1, True)}
+    false = recovery.false_paths(spark.createDataFrame([(1, "DISK"), (1, "Cache"), (2, "Disk"), (3, "Table"), (3, "Page"), (4, "cache"), (4, "table")], "query_id long, name string"), rows)
+    assert {tuple(r) for r in false.collect()} == {(1, True), (2, False), (3, False), (4, False)}
+    rates = recovery.hop_rates(spark.createDataFrame([(1, 1), (2, 2), (4, 1), (3, None), (9, 3)], "query_id long, hop int"), found, false)
+    assert {tuple(r) for r in rates.collect()} == {(1, 2, 2, 1.0), (2, 1, 0, 0.0), (3, 1, 0, 0.0), (0, 4, 2, 0.5), (None, 1, 0, 0.0)}
+
+
+def test_heldout_paths_against_the_loop(spark, tables):
+    _, entities, _, _ = tables
+    names = {n: name for _, n, name in entities}
+    edges = [(r.src, r.dst, r.relation) for r in plans.edges(spark, SF).collect()]
+    asked, gold, subjects = ([tuple(r) for r in d.collect()] for d in plans.heldout_gold(spark, SF))
+    found = {}
+    for r in plans.graph_staged_seeds(spark, SF).collect():
+        for back in (False, True):
+            front = [((), r.node)]
+            for _ in range(3):
+                front = [((*used, e), e[0] if back else e[1]) for used, at in front for e in edges if e[1 if back else 0] == at and e not in used]
+                for used, end in front:
+                    if end != r.node:
+                        found.setdefault(r.query_id, []).append(({names[r.node], names[end]}, {e[2] for e in used}))
+    want = {}
+    for q, hop in asked:
+        own, rows = [g[1:] for g in gold if g[0] == q], found.get(q, [])
+        hits = sum(any({s, t} == ends and k in kinds for ends, kinds in rows) for s, k, t in own)
+        who = {n for i, n in subjects if i == q}
+        want[q] = (hop, len(own) or None, hits if own else None, hits == len(own) if own else None, any(len(ends) == 2 and ends <= who for ends, _ in rows) if hop is None else None)
+    assert {r[0]: tuple(r)[1:] for r in plans.heldout_paths(spark, SF).collect()} == want
+    assert {w[3] for w in want.values()} == {True, False, None}
+
+
 def test_scores_are_those_of_the_loop():
     assert score("processes", "Process") == 1.0 and score("process", "Process Abstraction") == pytest.approx(0.85)
     assert score("dijsktra", "Dijkstra") > 0.82 and score("paging", "Entropy") == 0.0
