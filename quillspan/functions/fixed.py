@@ -202,3 +202,12 @@ CAPTION_OPENERS = [
     "overview of", "this diagram", "the diagram", "a diagram", "the figure",
 ]
 CAPTION_WORDS = "images pictures photos screenshots figures shows shown showing contains including appear appears".split()
+
+# Files of a package, those it may have besides, and those that never leave the machine that made them.
+PACKAGE_FILES = [
+    "manifest.json", "chunk_segment_map.json", "entities.json", "relations.json", "segments.json", "multimodal_chunks.json",
+    "embeddings.npy", "embedding_ids.json", "metadata.json", "triplets.json",
+]
+OPTIONAL_PACKAGE_FILES = ["prerequisites.json"]
+EXCLUDED_FILES = ["vlm_output.jsonl", "ocr_output.jsonl", "transcript.json", "frames.json", "training_metrics.json"]
+EXCLUDED_FOLDERS = ["frames", "logs"]
