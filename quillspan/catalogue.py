@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import answers, audits, cleaning, curation, evaluation, extracted, knowledge, retrieval, segments, staged, timeline
+from quillspan.plans import answers, audits, cleaning, curation, evaluation, extracted, knowledge, records, retrieval, segments, staged, timeline
 
-_PLANS = [retrieval, answers, evaluation, timeline, knowledge, staged, audits, cleaning, curation, extracted, segments]
+_PLANS = [retrieval, answers, evaluation, timeline, knowledge, staged, audits, cleaning, records, curation, extracted, segments]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
 FLAGSHIP = "bm25_topk"
