@@ -102,16 +102,23 @@ def prereq_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_pairs(spark, sf_dir).filter("confidence >= 0.65").select("src", "dst", "graph", F.round("confidence", 4).alias("confidence"))
 
 
+def lecture_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prerequisites between concepts of one lecture (a part's brand): others are none, as lectures are kept apart."""
+    lecture = m.table(spark, sf_dir, "part").select(F.col("p_brand").alias("lecture_id"), F.col("p_partkey").alias("src"))
+    e = scored_pairs(spark, sf_dir).filter("confidence >= 0.65").select("src", "dst", "confidence")
+    return e.join(lecture, "src").join(lecture.withColumnRenamed("src", "dst"), ["lecture_id", "dst"]).select("lecture_id", "src", "dst", "confidence")
+
+
 def dag_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All prerequisites without their cycles; the parts are one lecture (0), as cycles run through any of them."""
-    e = scored_pairs(spark, sf_dir).filter("confidence >= 0.65").select(F.lit(0).cast("long").alias("lecture_id"), "src", "dst", "confidence")
-    return G.acyclic(e)
+    """Prerequisites of every lecture without their cycles."""
+    return G.acyclic(lecture_pairs(spark, sf_dir))
 
 
 def dag_is_acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges on or behind cycles before and after dag_enforced."""
-    before = scored_pairs(spark, sf_dir).filter("confidence >= 0.65").select(F.lit(0).cast("long").alias("lecture_id"), "src", "dst", "confidence")
-    return G.validated(before).withColumn("enforced", F.lit(False)).union(G.validated(G.acyclic(before)).withColumn("enforced", F.lit(True))).select("enforced", "edges", "on_cycles")
+    """Edges on or behind cycles before and after dag_enforced, of all lectures."""
+    before = lecture_pairs(spark, sf_dir)
+    both = G.validated(before).withColumn("enforced", F.lit(False)).union(G.validated(G.acyclic(before)).withColumn("enforced", F.lit(True)))
+    return both.groupBy("enforced").agg(F.sum("edges").alias("edges"), F.sum("on_cycles").alias("on_cycles"))
 
 
 def cycle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

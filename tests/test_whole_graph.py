@@ -31,11 +31,15 @@ def test_acyclic_on_random_graphs(spark):
     assert got == {(g, a, b) for g in (1, 2, 3) for a, b in greedy([(c, a, b) for h, a, b, c in rows if h == g])}
 
 
-def test_dag_enforced_takes_every_scored_edge(spark):
-    scored = [tuple(r) for r in knowledge.scored_pairs(spark, SF).filter("confidence >= 0.65").select("confidence", "src", "dst").collect()]
-    got = knowledge.dag_enforced(spark, SF).collect()
-    assert {(r["src"], r["dst"]) for r in got} == greedy(scored)
-    assert any(r["src"] % 40 != r["dst"] % 40 for r in got)
+def test_dag_enforced_takes_every_edge_of_a_lecture(spark):
+    brand = {r.p_partkey: r.p_brand for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    lectures = {}
+    for c, a, b in (tuple(r) for r in knowledge.scored_pairs(spark, SF).filter("confidence >= 0.65").select("confidence", "src", "dst").collect()):
+        if brand[a] == brand[b]:
+            lectures.setdefault(brand[a], []).append((c, a, b))
+    got = {(r["lecture_id"], r["src"], r["dst"]) for r in knowledge.dag_enforced(spark, SF).collect()}
+    assert got == {(k, a, b) for k, rows in lectures.items() for a, b in greedy(rows)}
+    assert len(lectures) > 2 and len(got) < sum(map(len, lectures.values()))
 
 
 def test_strong_components(spark):
