@@ -23,7 +23,8 @@ def written_title(raw: Column, most: int = 8) -> Column:
 
 def is_repetitive(text: Column) -> Column:
     """No words of letters; four or more of which under 0.4 differ; or one word of at most three letters, however often."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?U)\\b[a-z]+\\b"), F.lit(0))
+    # ends of words are ASCII, as in the SQL: of a word with an accent, the runs without it count
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?<![a-z0-9_])[a-z]+(?![a-z0-9_])"), F.lit(0))
     n, kinds = F.size(words), F.size(F.array_distinct(words))
     return (n == 0) | ((n >= 4) & (kinds / n < 0.4)) | ((kinds == 1) & (F.length(F.get(words, F.lit(0))) <= 3))
 
