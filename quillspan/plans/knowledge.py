@@ -189,9 +189,11 @@ def gold_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = e.select(F.col("entity_id").alias("gold_id"), X.normalize_name(F.col("name")).alias("exact"), X.lemma_key(F.col("name")).alias("lemma"))
     said = F.when(F.col("entity_id") % 2 == 0, F.concat(F.upper("name"), F.lit("s"))).otherwise(F.concat(F.lit(" "), "name"))
     p = e.select("entity_id", X.normalize_name(said).alias("exact"), X.lemma_key(said).alias("lemma"))
-    one = p.join(gold.select("exact", "gold_id"), "exact").groupBy("entity_id").agg(F.min("gold_id").alias("gold_id")).withColumn("stage", F.lit("EXACT"))
-    rest = p.join(one, "entity_id", "left_anti").join(gold.select("lemma", "gold_id"), "lemma").groupBy("entity_id").agg(F.min("gold_id").alias("gold_id")).withColumn("stage", F.lit("LEMMA"))
-    return one.union(rest)
+    # a spelling's least id is found once, so an entity meets one row of it, however many share it
+    least = lambda key: gold.groupBy(key).agg(F.min("gold_id").alias(f"_{key}"))
+    found = p.join(least("exact"), "exact", "left").join(least("lemma"), "lemma", "left").groupBy("entity_id").agg(F.min("_exact").alias("_exact"), F.min("_lemma").alias("_lemma"))
+    stage = F.when(F.col("_exact").isNotNull(), "EXACT").otherwise("LEMMA")
+    return found.select("entity_id", F.coalesce("_exact", "_lemma").alias("gold_id"), stage.alias("stage")).filter("gold_id is not null")
 
 
 def ontology_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,3 +11,12 @@ def test_words_end_where_ascii_words_end(spark):
     # one long run before an accent: it is a word
     one = spark.createDataFrame([("cafés",), ("longeré",)], "text string")
     assert [r[0] for r in one.select(segments.is_repetitive(one["text"])).collect()] == [False, False]
+
+
+def test_gold_names_meet_one_row_of_each_spelling(spark, tmp_path):
+    rows = [(k, "red bolt" if k % 3 else "hot rod", "type") for k in range(1, 61)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    df = knowledge.gold_name_match(spark, str(tmp_path))
+    assert {tuple(r) for r in df.select("entity_id", "gold_id", "stage").collect()} == {(k, 1 if k % 3 else 3, "EXACT" if k % 2 else "LEMMA") for k in range(1, 61)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and plan.count("Aggregate [exact") == 1 and plan.count("Aggregate [lemma") == 1
