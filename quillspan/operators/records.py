@@ -57,11 +57,11 @@ def united(datasets: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn("kind", F.lit(k)) for k, d in datasets.items()])
 
 
-def naming_sentences(names: DataFrame, texts: DataFrame, within: list[str], least: int = 20, most: int = 400) -> DataFrame:
-    """within, name, text_id, nth, sentence: the first sentence of `least` to `most` characters that names each concept (within, name), in any case."""
+def naming_sentences(names: DataFrame, texts: DataFrame, within: list[str], least: int = 20, most: int = 400, words: bool = False) -> DataFrame:
+    """within, name, text_id, nth, sentence: the first sentence of `least` to `most` characters that names each concept (within, name), in any case.  `words`: no name has a blank inside."""
     s = sentences(texts, within).withColumn("text", F.trim("text")).filter(F.length("text").between(least, most))
     places = s.select(*within, F.struct("text_id", "nth").alias("text_id"), F.lower("text").alias("text"))
     low = names.select(*within, "name", F.lower(F.trim("name")).alias("_low"))
-    found = contained(places, low.select(*within, F.col("_low").alias("name")), within).groupBy(*within, F.col("name").alias("_low")).agg(F.min("text_id").alias("_at"))
+    found = contained(places, low.select(*within, F.col("_low").alias("name")), within, words).groupBy(*within, F.col("name").alias("_low")).agg(F.min("text_id").alias("_at"))
     found = low.join(found, [*within, "_low"]).select(*within, "name", F.col("_at.text_id").alias("text_id"), F.col("_at.nth").alias("nth"))
     return found.join(s.withColumnRenamed("text", "sentence"), [*within, "text_id", "nth"])

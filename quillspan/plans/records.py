@@ -62,7 +62,7 @@ def dataset_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sentence of fitting length that names the longest word of a text, in its lecture."""
     names = audits.text_relations(spark, sf_dir).select("lecture_id", F.col("source").alias("name")).distinct()
-    found = R.naming_sentences(names, audits.texts(spark, sf_dir), ["lecture_id"])
+    found = R.naming_sentences(names, audits.texts(spark, sf_dir), ["lecture_id"], words=True)
     return found.select("lecture_id", "name", "text_id", "nth", F.length("sentence").alias("n_chars"))
 
 
