@@ -26,7 +26,7 @@ def _payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifteen best passages of an item, then five that a graph would add: the first of its lecture."""
     q = m.questions(spark, sf_dir)
-    top = lexical.top_k(lexical.bm25(m.passages(spark, sf_dir), q), retrieval.K).select("query_id", "chunk_id", F.col("rank").alias("arrival"), F.round("score", 6).alias("score"))
+    top = lexical.best(m.passages(spark, sf_dir), q, retrieval.K).select("query_id", "chunk_id", F.col("rank").alias("arrival"), F.round("score", 6).alias("score"))
     ids = m.passages(spark, sf_dir).select("lecture_id", "chunk_id")
     first = ids.withColumn("arrival", F.row_number().over(Window.partitionBy("lecture_id").orderBy("chunk_id"))).filter("arrival <= 5")
     more = q.select("query_id", "lecture_id").join(first, "lecture_id").select("query_id", "chunk_id", "arrival", F.lit(None).cast("double").alias("score"))

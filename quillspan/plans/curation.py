@@ -45,7 +45,7 @@ def routing_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = lexical.top_k(lexical.bm25(m.passages(spark, sf_dir), m.questions(spark, sf_dir)), 15)
+    top = lexical.best(m.passages(spark, sf_dir), m.questions(spark, sf_dir), 15)
     d = m.chunks(spark, sf_dir).select("lecture_id", "chunk_id", "ts", "text")
     return top.join(d, ["lecture_id", "chunk_id"]).select("query_id", F.col("chunk_id").alias("block_id"), "ts", F.round(C.block_score(F.lit(0.0), F.col("score")), 6).alias("score"), "text")
 

@@ -19,8 +19,8 @@ def tok_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = lexical.bm25(m.passages(spark, sf_dir), m.questions(spark, sf_dir))
-    return lexical.top_k(s, K).select("query_id", "lecture_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    s = lexical.best(m.passages(spark, sf_dir), m.questions(spark, sf_dir), K)
+    return s.select("query_id", "lecture_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_eval_full_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _text_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = m.table(spark, sf_dir, "documents").select(F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string")).alias("lecture_id"), F.col("doc_id").alias("chunk_id"), "text")
     d = d.join(m.vectors(spark, sf_dir).select("chunk_id"), "chunk_id", "left_semi")
     q = d.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "lecture_id", F.col("text").alias("query"))
-    return lexical.top_k(lexical.bm25(d, q), K)
+    return lexical.best(d, q, K)
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,8 @@ def rrf_nway(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     q = m.vector_queries(spark, sf_dir).select("query_id", "lecture_id", "wanted")
     v = m.vectors(spark, sf_dir).select("lecture_id", "chunk_id", F.col("label").alias("wanted"))
+    # the first of a tenant and label are the first of all who ask for it
+    v = v.withColumn("_n", F.row_number().over(Window.partitionBy("lecture_id", "wanted").orderBy("chunk_id"))).filter(F.col("_n") <= K).drop("_n")
     third = q.join(v, ["lecture_id", "wanted"]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).filter(F.col("rank") <= K).withColumn("score", F.lit(1.0))
     f = fuse.rrf([_dense(spark, sf_dir), _text_leg(spark, sf_dir), third], K)
     return f.select("query_id", "chunk_id", "rank", F.round("rrf", 9).alias("rrf"), F.round("score", 6).alias("score"), "n_legs")
@@ -72,7 +74,7 @@ def course_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = b.select(F.col("item_id").alias("course_query"), F.col("text").alias("query"), member, "item_id")
     q = q.select("course_query", "nth", "query", F.concat(F.lit("src"), ((F.col("item_id") + F.col("nth") * 7) % 20).cast("string")).alias("lecture_id"))
     q = q.withColumn("query_id", F.col("course_query") * 10 + F.col("nth"))
-    s = lexical.top_k(lexical.bm25(m.passages(spark, sf_dir), q.select("query_id", "lecture_id", "query")), 5)
+    s = lexical.best(m.passages(spark, sf_dir), q.select("query_id", "lecture_id", "query"), 5)
     s = s.join(q.select("query_id", "course_query", "nth"), "query_id").withColumn("arrival", F.struct("nth", "rank"))
     s = fuse.best_of_each(s, ["course_query", "lecture_id", "chunk_id"])
     w = Window.partitionBy("course_query").orderBy(F.round("score", 9).desc(), "nth", "rank")

@@ -3,9 +3,11 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.operators import blocks, dense, lexical
+from quillspan.plans import retrieval
 
 
 def test_dense_blocks_hold_all_pairs(spark, monkeypatch):
@@ -26,3 +28,26 @@ def test_dense_blocks_hold_all_pairs(spark, monkeypatch):
     assert key(got) == key(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("sparse", [1, 100])
+def test_text_blocks_hold_all_pairs(spark, monkeypatch, sparse):
+    monkeypatch.setattr(blocks, "DOCS", 16)
+    monkeypatch.setattr(blocks, "QUERIES", 8)
+    monkeypatch.setattr(lexical, "SPARSE", sparse)
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    text = lambda n: " ".join(words[min(39, int(rng.expovariate(0.2)))] for _ in range(n))
+    docs = [("l" if k % 4 else "m", k, text(rng.randrange(30))) for k in range(150)] + [("l", 500 + k, "w1 w2 w3") for k in range(40)] + [("l", 600, None), (None, 601, "w1")]
+    asked = [(k, "l" if k % 3 else "m", text(rng.randrange(6))) for k in range(40)] + [(90, "x", "w1"), (91, "l", None), (92, "l", "unseen"), (93, None, "w1"), (94, "l", "w1 w2 w3")]
+    d = spark.createDataFrame(docs, "lecture_id string, chunk_id long, text string")
+    q = spark.createDataFrame(asked, "query_id long, lecture_id string, query string")
+    key = lambda s: sorted((r["query_id"], r["rank"], r["lecture_id"], r["chunk_id"], round(r["score"], 9)) for r in s.collect())
+    got, want = lexical.best(d, q, 7), lexical.top_k(lexical.bm25(d, q), 7)
+    assert key(got) == key(want) and len(key(want)) > 150
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_label_leg_is_cut_before_it_meets_queries(spark):
+    plan = retrieval.rrf_nway(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_n#" in plan and "WindowGroupLimit [lecture_id" in plan
