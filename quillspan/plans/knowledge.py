@@ -10,6 +10,7 @@ from quillspan.functions import text as X
 from quillspan.operators import fuzzy
 from quillspan.operators import graph as G
 from quillspan.operators.containment import contained
+from quillspan.operators.spread import spread
 from quillspan.plans import mapping as m
 
 
@@ -76,13 +77,16 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered pairs with an edge either way, with counts and weights both ways and first places."""
     r = m.relations(spark, sf_dir).filter("src <> dst")
     table = spark.createDataFrame([(k, f, b) for k, (f, b) in fixed.PREREQUISITE_WEIGHTS.items()], "relation string, along double, against double")
-    w = r.join(table, "relation")
-    along = w.groupBy("src", "dst").agg(F.max("along").alias("w"), F.count(F.lit(1)).alias("n_fwd"), F.lit(0).cast("long").alias("n_rev"))
-    against = w.groupBy(F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.max("against").alias("w"), F.lit(0).cast("long").alias("n_fwd"), F.count(F.lit(1)).alias("n_rev"))
-    p = along.union(against).groupBy("src", "dst").agg(F.max("w").alias("graph"), F.sum("n_fwd").alias("n_fwd"), F.sum("n_rev").alias("n_rev"))
+    w = r.join(F.broadcast(table), "relation")  # a row for each type
+    along = w.select("src", "dst", F.col("along").alias("w"), F.lit(1).cast("long").alias("f"), F.lit(0).cast("long").alias("b"))
+    against = w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("against").alias("w"), F.lit(0).cast("long").alias("f"), F.lit(1).cast("long").alias("b"))
+    # at most two rows for each line, one for each end
+    n = 2 * m.table(spark, sf_dir, "lineitem").count()
+    p = spread(along.union(against), n, "src", "dst").groupBy("src", "dst").agg(F.max("w").alias("graph"), F.sum("f").alias("n_fwd"), F.sum("b").alias("n_rev"))
     ends = r.select(F.col("src").alias("node"), "order_id").union(r.select("dst", "order_id"))
     first = ends.groupBy("node").agg((F.min("order_id") * 15.0).alias("t"))
-    return p.join(first.withColumnsRenamed({"node": "src", "t": "t_src"}), "src").join(first.withColumnsRenamed({"node": "dst", "t": "t_dst"}), "dst")
+    at = lambda c: first.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}"))
+    return spread(spread(p, n, "src").join(at("src"), "src"), n, "dst").join(at("dst"), "dst").select("src", "dst", "graph", "n_fwd", "n_rev", "t_src", "t_dst")
 
 
 def prereq_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

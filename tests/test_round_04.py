@@ -2,11 +2,14 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillspan import catalogue
 from quillspan.operators import blocks, dense, lexical
+from quillspan.operators import spread as S
 from quillspan.plans import retrieval
 
 
@@ -51,3 +54,12 @@ def test_text_blocks_hold_all_pairs(spark, monkeypatch, sparse):
 def test_label_leg_is_cut_before_it_meets_queries(spark):
     plan = retrieval.rrf_nway(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "_n#" in plan and "WindowGroupLimit [lecture_id" in plan
+
+
+@pytest.mark.parametrize("name", ["prereq_candidates", "prereq_confidence", "prerequisite_audit", "graph_staged_seeds"])
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch, name):
+    """The shuffles of all rows have as many partitions as rows ask for, whatever the session's setting."""
+    monkeypatch.setattr(S, "ROWS", 50)
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and max(dealt) >= (100 if name != "graph_staged_seeds" else 4)
