@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import extraction, fuzzy, graph
 from quillspan.operators.containment import contained
+from quillspan.operators.spread import spread
 from quillspan.sources.scratch import written
 
 EXACT, PARTIAL, FUZZY = 1, 2, 3
@@ -23,22 +24,31 @@ def mentions(queries: DataFrame) -> DataFrame:
     return q.select("lecture_id", "query_id", F.posexplode(extraction.query_entities(F.coalesce("query", F.lit("")))).alias("nth", "mention"))
 
 
+def _met(asked: DataFrame, entities: DataFrame, key: list[str]) -> DataFrame:
+    """query_id, lecture_id, node: distinct rows of asked (query_id, key) and entities (node, key), dealt to tasks by how many there are."""
+    many = lambda d, c: d.groupBy(*key).agg(F.count(F.lit(1)).alias(c))
+    rows = many(asked, "_a").join(many(entities, "_b"), key).agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
+    met = asked.join(entities, key).select("query_id", "lecture_id", "node")
+    return spread(met, rows, "query_id", "node").distinct()
+
+
 def seeds(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """query_id, lecture_id, node, stage: entities (lecture_id, node, name) that a mention equals (EXACT); if there is none, whose names contain one (PARTIAL); if there
     is none, those of the three best fuzzy names (FUZZY).  Case doesn't count.  A query without a mention has no seed.
     """
     said = mentions(queries).select("lecture_id", "query_id", F.lower("mention").alias("term")).distinct()
     e = entities.select("lecture_id", "node", "name", F.lower("name").alias("low")).filter("name is not null")
-    exact = written(said.join(e.withColumnRenamed("low", "term"), ["lecture_id", "term"]).select("query_id", "lecture_id", "node").distinct(), "exact-seeds")
+    exact = written(_met(said, e.withColumnRenamed("low", "term"), ["lecture_id", "term"]), "exact-seeds")
     said = said.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     names = e.select("lecture_id", F.col("low").alias("text_id"), F.col("low").alias("text")).distinct()
     inside = contained(names, said.select("lecture_id", F.col("term").alias("name")), ["lecture_id"]).select("lecture_id", F.col("name").alias("term"), F.col("text_id").alias("low"))
-    partial = said.join(inside, ["lecture_id", "term"]).join(e, ["lecture_id", "low"]).select("query_id", "lecture_id", "node").distinct()
-    partial = written(partial, "partial-seeds")
+    # what a term is inside of doesn't rest on who asks
+    held = written(inside.join(e, ["lecture_id", "low"]).select("lecture_id", "term", "node").distinct(), "held")
+    partial = written(_met(said, held, ["lecture_id", "term"]), "partial-seeds")
     rest = queries.join(said.select("query_id").distinct(), "query_id", "left_semi").join(partial.select("query_id").distinct(), "query_id", "left_anti")
     distinct = e.select("lecture_id", "name").distinct().withColumn("node", F.lit(0))
     best = fuzzy.best_names(rest, distinct, 3, fuzzy.PHRASE, ["lecture_id"]).select("query_id", F.lower("name").alias("low")).distinct()
-    found = best.join(rest.select("query_id", "lecture_id"), "query_id").join(e, ["lecture_id", "low"]).select("query_id", "lecture_id", "node").distinct()
+    found = _met(written(best.join(rest.select("query_id", "lecture_id"), "query_id"), "best-names"), e, ["lecture_id", "low"])
     stage = lambda d, n: d.withColumn("stage", F.lit(n))
     return stage(exact, EXACT).union(stage(partial, PARTIAL)).union(stage(found, FUZZY))
 
