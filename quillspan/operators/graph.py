@@ -14,18 +14,21 @@ from quillspan.sources.scratch import written
 HOPS = 3
 
 
-def trails(seeds: DataFrame, edges: DataFrame, hops: int = HOPS, backward: bool = False) -> DataFrame:
-    """query_id, start, node, hops, path (edge ids) of trails along the edges (against them if backward): no edge twice, the end is not the start.
+def trails(seeds: DataFrame, edges: DataFrame, hops: int = HOPS, backward: bool = False, along: str = "edge_id") -> DataFrame:
+    """query_id, start, node, hops, path (edge ids), along (a column's values of these edges) of trails along the edges (against them if backward): no edge twice, the end is not the start.
 
-    Only the seeds' surroundings are joined; each hop is one equi-join on the frontier.
+    Only the seeds' surroundings are joined; each hop is one equi-join on the frontier, by merging: files of edges are
+    small for their rows, which a broadcast would hold whole.
     """
     a, b = ("dst", "src") if backward else ("src", "dst")
-    step = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"), F.col("edge_id").alias("_e"))
-    front = seeds.select("query_id", F.col("node").alias("start"), F.col("node"), F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("path"))
+    step = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"), F.col("edge_id").alias("_e"), F.col(along).alias("_v")).hint("merge")
+    kind = edges.schema[along].dataType.simpleString()
+    front = seeds.select("query_id", F.col("node").alias("start"), F.col("node"), F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("path"), F.array().cast(f"array<{kind}>").alias("along"))
     found = []
     for _ in range(hops):
         on = (F.col("node") == F.col("_from")) & ~F.array_contains("path", F.col("_e"))
-        front = front.join(step, on).select("query_id", "start", F.col("_to").alias("node"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("_e")).alias("path"))
+        longer = [F.concat(c, F.array(v)).alias(c) for c, v in (("path", "_e"), ("along", "_v"))]
+        front = front.join(step, on).select("query_id", "start", F.col("_to").alias("node"), (F.col("hops") + 1).alias("hops"), *longer)
         found.append(front)
     return reduce(DataFrame.unionAll, found).filter("node <> start")
 

@@ -8,19 +8,40 @@ from pyspark.sql import functions as F
 from quillspan.operators import graph
 
 
-def path_rows(seeds: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
+def path_rows(seeds: DataFrame, edges: DataFrame, names: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """query_id, start_name, related_name, rel_types: a row for every trail of at most three hops, out and in, from seeds (query_id, node).
 
-    edges (src, dst, edge_id, relation), names (node, name).
+    edges (src, dst, edge_id, relation), names (node, name).  With wanted (query_id, low, high: two lower-cased names in
+    order), distinct rows that join these ends, either way round: trails begin only at seeds with such a name.
     """
-    out = graph.trails(seeds, edges).withColumn("direction", F.lit("out"))
-    back = graph.trails(seeds, edges, backward=True).withColumn("direction", F.lit("in"))
-    t = out.union(back).withColumn("_t", F.struct("direction", "start", "path"))
-    kinds = t.select("query_id", "_t", F.explode("path").alias("edge_id")).join(edges.select("edge_id", "relation"), "edge_id")
-    kinds = kinds.groupBy("query_id", "_t").agg(F.sort_array(F.collect_set("relation")).alias("rel_types"))  # three at most
-    named = lambda c, to: names.select(F.col("node").alias(c), F.col("name").alias(to))
-    t = t.join(kinds, ["query_id", "_t"]).join(named("start", "start_name"), "start").join(named("node", "related_name"), "node")
-    return t.select("query_id", "start_name", "related_name", "rel_types")
+    named = lambda c, to: names.select(F.col("node").alias(c), F.col("name").alias(to)).hint("merge")
+    s = seeds.select("query_id", "node")
+    if wanted is not None:
+        wanted = wanted.select("query_id", F.col("low").alias("_low"), F.col("high").alias("_high")).distinct()
+        ends = wanted.select("query_id", F.explode(F.array("_low", "_high")).alias("_name")).distinct()
+        begin = s.join(named("node", "_n"), "node").withColumn("_name", F.lower(F.coalesce("_n", F.lit(""))))
+        s = begin.join(ends.hint("merge"), ["query_id", "_name"], "left_semi").select("query_id", "node")
+    walked = [graph.trails(s, edges, backward=back, along="relation") for back in (False, True)]
+    t = walked[0].union(walked[1]).withColumn("rel_types", F.sort_array(F.array_distinct(F.filter("along", lambda r: r.isNotNull()))))
+    t = t.join(named("start", "start_name"), "start").join(named("node", "related_name"), "node").select("query_id", "start_name", "related_name", "rel_types")
+    if wanted is None:
+        return t
+    on = ["query_id", "_low", "_high"]
+    return _pairs(t.distinct(), "start_name", "related_name").join(wanted.hint("merge"), on, "left_semi").select("query_id", "start_name", "related_name", "rel_types")
+
+
+def wanted_pairs(gold: DataFrame, subjects: DataFrame) -> DataFrame:
+    """query_id, low, high: the ends that recovered_paths() looks for, and those that false_paths() does."""
+    g = _pairs(gold, "source", "target").select("query_id", "_low", "_high")
+    s = subjects.select("query_id", F.lower("name").alias("_a")).distinct()
+    both = s.join(s.withColumnRenamed("_a", "_b"), "query_id").filter("_a < _b").select("query_id", "_a", "_b")
+    return g.union(both).toDF("query_id", "low", "high").distinct()
+
+
+def rows_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id, start_name, related_name, rel_types of path_rows under `once`, for each of wanted (query_id, once, low, high) that looks for such ends."""
+    w = wanted.select("query_id", "once", F.col("low").alias("_low"), F.col("high").alias("_high")).distinct()
+    return _pairs(rows, "start_name", "related_name").join(w, ["once", "_low", "_high"]).select("query_id", "start_name", "related_name", "rel_types")
 
 
 def _pairs(d: DataFrame, a: str, b: str) -> DataFrame:
