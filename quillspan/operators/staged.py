@@ -55,7 +55,7 @@ def seeds(queries: DataFrame, entities: DataFrame) -> DataFrame:
 
 def traversed(found: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, node, direction, hops, trails from seeds (query_id, node): what is reached within three hops either way; a query whose seeds lead nowhere has one row without a node."""
-    found, edges = written(found.select("query_id", "node").distinct(), "seeds"), written(edges.select("src", "dst"), "edges")
+    found, edges = written(found.select("query_id", "node").distinct(), "seeds"), written(edges.select("src", "dst"), "edges").hint("merge")  # a small file of many rows
     out = graph.trail_counts(found, edges).withColumn("direction", F.lit("out"))
     back = graph.trail_counts(found, edges, backward=True).withColumn("direction", F.lit("in"))
     rows = out.union(back).groupBy("query_id", "node", "direction").agg(F.min("hops").alias("hops"), F.sum("n").alias("trails"))

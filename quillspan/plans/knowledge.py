@@ -9,6 +9,7 @@ from quillspan.functions import fixed
 from quillspan.functions import text as X
 from quillspan.operators import fuzzy
 from quillspan.operators import graph as G
+from quillspan.operators import nearby
 from quillspan.operators.containment import contained
 from quillspan.operators.spread import spread
 from quillspan.plans import mapping as m
@@ -138,9 +139,8 @@ def node_degree_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_distance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as chunks that mention their parts, ranked by distance from the asked parts; ten per query."""
     li = m.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("chunk_id")).distinct()
-    s = G.distance_scores(li, _edges(spark, sf_dir), _seeds(spark, sf_dir))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return _for_all(spark, sf_dir, s.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")).select("query_id", "chunk_id", "score", "rank")
+    best = nearby.best_by_distance(li, _edges(spark, sf_dir), _seeds(spark, sf_dir), 10)
+    return _for_all(spark, sf_dir, best).select("query_id", "chunk_id", "score", "rank")
 
 
 def graph_lines_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
