@@ -27,7 +27,8 @@ from pyspark.sql.functions import pandas_udf
 from quillspan.llm.shared import WordTable, chunks_of, id_remainder, kept, sampled_per_class
 
 UNDETERMINED = "und"
-BLOCK = 128
+#: Words of a block; steps after which products are scaled again.
+BLOCK, SCALED = 128, 4
 
 
 def bare(word: str) -> str:
@@ -217,12 +218,14 @@ class ChainCRF:
         n = len(order)
         active = np.searchsorted(-length, -np.arange(BLOCK), side="left")
         e, letters = rows[:, :s], rows[:, s]
-        # transfer matrix of each block
+        ones = np.ones((s, 1))  # a product with it sums short rows faster than sum() does
+        # transfer matrix of each block; potentials are e**-30 at least, so a few steps can't underflow
         move = np.broadcast_to(np.eye(s), (n, s, s)).copy()
         for t in range(int(length[0])):
             k = active[t]
             m = (move[:k].reshape(-1, s) @ tr).reshape(k, s, s) * e[begin[:k] + t][:, None, :]
-            move[:k] = m / m.max(axis=(1, 2), keepdims=True)
+            move[:k] = m / m.max(axis=(1, 2), keepdims=True) if t % SCALED == SCALED - 1 else m
+        move /= move.max(axis=(1, 2), keepdims=True)
         # along the blocks of each document, forward and backward
         where = np.full((docs, int(per.max())), -1)
         where[doc, nth] = np.arange(n)
@@ -248,7 +251,7 @@ class ChainCRF:
         for t in range(steps):
             k = active[t]
             m = (a[:k] @ tr) * e[begin[:k] + t]
-            a[:k] = m / m.sum(1, keepdims=True)
+            a[:k] = m / (m @ ones)
             fwd[t, :k] = a[:k]
         sums = np.zeros((n, s))
         b = last
@@ -256,9 +259,9 @@ class ChainCRF:
             k = active[t]
             p = fwd[t, :k] * b[:k]
             at = begin[:k] + t
-            sums[:k] += p * (letters[at] / p.sum(1))[:, None]
+            sums[:k] += p * (letters[at][:, None] / (p @ ones))
             m = (e[at] * b[:k]) @ tr.T
-            b[:k] = m / m.max(1, keepdims=True)
+            b[:k] = m / (m @ ones) if t % SCALED == 0 else m
         np.add.at(out, doc, sums)
         return out
 
