@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,14 @@ def bare(word: str) -> str:
     return w[a:b]
 
 
+def _key(*letters):
+    """One number for up to three letters (numbers or arrays of them)."""
+    out = letters[0]
+    for x in letters[1:]:
+        out = (out << 21) | x
+    return out
+
+
 def features(word: str) -> list[str]:
     """Affix, n-gram and lexicon features; none for a word without letters."""
     w = bare(word)
@@ -67,22 +76,62 @@ class ChainCRF:
     vocabulary: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray | None = None
     transitions: np.ndarray | None = None
+    _lookup: tuple | None = field(default=None, repr=False, compare=False)
+
+    def _tables(self) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], dict[str, int]]:
+        """Sorted keys and numbers of the vocabulary's short strings (by length; of four by their first sign too), and of all that begin with `=`."""
+        if self._lookup is None or self._lookup[0] is not self.vocabulary:
+            short: dict[int, list[tuple[int, int]]] = {2: [], 3: [], ord("<"): [], ord(">"): []}
+            for f, i in self.vocabulary.items():
+                c = [ord(x) for x in f]
+                if len(c) in (2, 3):
+                    short[len(c)].append((_key(*c), i))
+                elif len(c) == 4 and c[0] in short:
+                    short[c[0]].append((_key(*c[1:]), i))
+            tables = {}
+            for kind, found in short.items():
+                found.sort()
+                # a last key that nothing has, so that any place is one of the table
+                tables[kind] = np.array([k for k, _ in found] + [-1], np.int64), np.array([i for _, i in found] + [-1], np.int64)
+            self._lookup = self.vocabulary, tables, {f[1:]: i for f, i in self.vocabulary.items() if f[0] == "="}
+        return self._lookup[1:]
+
+    def _known(self, words: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, number) of all features of bare words, of n letters each, that the vocabulary has: those of features(), for all words at once."""
+        tables, lexicon = self._tables()
+        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), n)
+        first = np.cumsum(n) - n
+        rest = np.repeat(first + n, n) - np.arange(len(c))  # letters from here to the word's end
+        more = np.concatenate([c, np.zeros(3, np.int64)])
+        pairs, threes = np.flatnonzero(rest >= 2), np.flatnonzero(rest >= 3)
+        asked = [(2, word[pairs], _key(c[pairs], more[pairs + 1])), (3, word[threes], _key(c[threes], more[threes + 1], more[threes + 2]))]
+        for k in (1, 2, 3):
+            own = np.flatnonzero(n > k)
+            for sign, at in (("<", first[own]), (">", first[own] + n[own] - k)):
+                letters = [more[at + j] for j in range(k)]
+                asked.append((ord(sign), own, _key(*letters)) if k == 3 else (k + 1, own, _key(ord(sign), *letters)))
+        owners, numbers = [], []
+        for kind, owner, key in asked:
+            keys, ids = tables[kind]
+            at = np.searchsorted(keys[:-1], key)
+            on = keys[at] == key
+            owners.append(owner[on])
+            numbers.append(ids[at[on]])
+        whole = np.fromiter(map(lexicon.get, words, repeat(-1)), np.int64, len(words))
+        on = np.flatnonzero((whole >= 0) & (n > 0))
+        return np.concatenate([*owners, on]), np.concatenate([*numbers, whole[on]])
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         """exp of each word's potentials (largest 1), and a last column: 1 if it has a letter."""
-        get, flat, counts = self.vocabulary.get, [], np.zeros(len(words), np.int64)
-        letters = np.zeros(len(words))
-        for k, w in enumerate(words):
-            names = features(w)
-            letters[k] = bool(names)
-            own = [i for i in map(get, names) if i is not None]
-            flat += own
-            counts[k] = len(own)
+        bared = list(map(bare, words))
+        n = np.fromiter(map(len, bared), np.int64, len(words))
+        owner, numbers = self._known(bared, n)
         sums = np.zeros((len(words), len(self.states)))
-        if flat:
-            np.add.at(sums, np.repeat(np.arange(len(words)), counts), self.weights[np.array(flat)])
+        for k in range(len(self.states)):
+            sums[:, k] = np.bincount(owner, weights=self.weights[numbers, k], minlength=len(words))
         sums -= sums.max(axis=1, keepdims=True)
-        return np.hstack([np.exp(np.maximum(sums, -30.0)), letters[:, None]])
+        return np.hstack([np.exp(np.maximum(sums, -30.0)), (n > 0).astype(float)[:, None]])
 
     @classmethod
     def train(cls, texts: list[str], labels: list[str], lexicon: int = 4000, span: int = 48, spans: int = 6000, epochs: int = 4, rate: float = 0.25, seed: int = 7) -> ChainCRF:
