@@ -21,9 +21,9 @@ Scoring cuts each whole text into windows that overlap by `overlap` ids; a batch
 windows is one masked attention product, and every id is scored in exactly one
 window, with at least `overlap` ids before it.
 
-Attention is trained on windows from all over the training texts, one for about every
-`step` characters: each task makes a pass over its own windows, the tasks' weights are
-averaged, and a second round starts from there.  A larger corpus has more windows.
+Attention is trained on all positions of all training texts, each in one window: each
+task makes a pass over its own windows, the tasks' weights are averaged, and a second
+round starts from there.  A large corpus is dealt over the two rounds.
 
 Defined results: null text is empty: its one token is the end.  A null doc_id is not
 held out.  Repeated rows are scored each.  Without training texts all counts are 0.
@@ -51,8 +51,8 @@ from quillspan.llm.subwords import byte_bpe
 
 HOT_WORDS, CONTEXTS, IDS, CLASSES, WIDTH = 200_000, 4096, 1000, 32, 16
 WINDOW, OVERLAP, BATCH, ROUNDS, MIX = 64, 32, 16, 2, 0.1
-#: Characters for each training window: this many, or fewer (down to 64) until there are LEAST_WINDOWS.
-STEP, LEAST_WINDOWS = 8192, 40_000
+#: Windows a small corpus is gone through for; characters of a window, about; steps a task makes at least before its batches grow.
+LEAST_WINDOWS, WINDOW_CHARS, STEPS = 40_000, 150, 256
 LN10 = math.log(10.0)
 
 
@@ -288,6 +288,24 @@ class Model:
                 out.append(w)
         return np.stack(out) if out else np.zeros((0, 3, WINDOW), np.int16)
 
+    def every_window(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Training windows, as windows() has them, in which every id of texts and every text's end is the target of one place; codes and counts as in each()."""
+        size = counts + 1  # inputs: the start, then every id; targets: every id, then the end
+        first = np.cumsum(size) - size
+        ids, rows = np.zeros(int(size.sum()), np.int16), np.zeros(int(size.sum()), np.int16)
+        body = np.ones(len(ids), bool)
+        body[first] = False
+        ids[body], rows[body] = codes[:, 0], codes[:, 1]
+        target = np.append(ids[1:], 0)[: len(ids)]
+        target[first[1:] - 1] = 0
+        per = -(-size // WINDOW)
+        begin = np.repeat(np.cumsum(per) - per, size) * WINDOW  # where each text's windows begin
+        at = begin + np.arange(len(ids)) - np.repeat(first, size)
+        out = np.zeros((3, int(per.sum()) * WINDOW), np.int16)
+        out[2] = -1
+        out[0, at], out[1, at], out[2, at] = ids, rows, target
+        return np.ascontiguousarray(out.reshape(3, -1, WINDOW).transpose(1, 0, 2))
+
     def slopes(self, batch: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean -ln P of the targets of windows, and its slopes in all weights."""
         p, (x, rows, y) = self.weights, batch.astype(np.int64).transpose(1, 0, 2)
@@ -298,9 +316,10 @@ class Model:
         on, flat, r, t = on[order], flat[order], r[order], t[order]
         c, m = np.divmod(t, self.member)
         each = np.arange(len(t))
+        ones = np.ones(max(CLASSES, self.member), flat.dtype)  # a product sums rows faster
         outer = np.take(self.classes, r, 0) + flat @ p["uc"].T
-        outer = np.exp(outer - outer.max(axis=1, keepdims=True))
-        outer /= outer.sum(axis=1, keepdims=True)
+        np.exp(outer, out=outer)
+        outer /= (outer @ ones[:CLASSES])[:, None]
         loss = -np.log(np.maximum(outer[each, c], 1e-30)).sum()
         outer[each, c] -= 1
         outer /= len(t)
@@ -312,19 +331,29 @@ class Model:
             a, z = ends[j], ends[j + 1]
             if a < z:
                 inner = np.take(self.corpus[j], r[a:z], 0) + flat[a:z] @ p["u"][j].T
-                inner = np.exp(inner - inner.max(axis=1, keepdims=True))
-                inner /= inner.sum(axis=1, keepdims=True)
+                np.exp(inner, out=inner)
+                inner /= (inner @ ones[: self.member])[:, None]
                 loss -= np.log(np.maximum(inner[each[: z - a], m[a:z]], 1e-30)).sum()
                 inner[each[: z - a], m[a:z]] -= 1
                 inner /= len(t)
                 g["u"][j] = inner.T @ flat[a:z]
                 d[a:z] += inner @ p["u"][j]
-        d_h = np.zeros((x.size, WIDTH), np.float32)
+        d_h = np.zeros((x.size, WIDTH), flat.dtype)
         d_h[on] = d
         d_h = d_h.reshape(h.shape)
-        a = s / total
-        d_a = d_h @ vv[:, :, :WIDTH].transpose(0, 2, 1)
-        d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True))
+        d_q, d_k, d_v = np.empty_like(d_h), np.empty_like(d_h), np.empty_like(d_h)
+        by_place = np.zeros((x.shape[1], x.shape[1]), flat.dtype)
+        for b in range(0, len(x), 16):  # what a few windows need stays in the cache
+            own = slice(b, b + 16)
+            weights, slope = s[own], d_h[own]
+            weights /= total[own]
+            d_v[own] = weights.transpose(0, 2, 1) @ slope
+            d_s = slope @ vv[own, :, :WIDTH].transpose(0, 2, 1)
+            # each row's mean slope is the state's own
+            d_s -= np.einsum("nij,nij->ni", slope, h[own])[:, :, None]
+            d_s *= weights
+            d_q[own], d_k[own] = d_s @ k[own], d_s.transpose(0, 2, 1) @ q[own]
+            by_place += d_s.sum(axis=0)
         order = np.argsort(x.reshape(-1), kind="stable")
         ids = x.reshape(-1)[order]
         at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
@@ -332,10 +361,7 @@ class Model:
         def to_ids(slope: np.ndarray) -> np.ndarray:
             return np.add.reduceat(slope.reshape(-1, WIDTH)[order], at, axis=0)
 
-        g["v"][ids[at], :WIDTH] = to_ids(a.transpose(0, 2, 1) @ d_h)
-        g["q"][ids[at]] = to_ids(d_s @ k)
-        g["k"][ids[at]] = to_ids(d_s.transpose(0, 2, 1) @ q)
-        by_place = d_s.sum(axis=0)
+        g["v"][ids[at], :WIDTH], g["q"][ids[at]], g["k"][ids[at]] = to_ids(d_v), to_ids(d_q), to_ids(d_k)
         g["lag"] = np.array([np.trace(by_place, -n) for n in range(WINDOW)], np.float32)
         return float(loss) / len(t), g
 
@@ -368,43 +394,51 @@ def pieces(learned: DataFrame, step: int, length: int = 240) -> DataFrame:
     return t.select(F.inline(made))
 
 
-def trained(model: Model, learned: DataFrame, rounds: int = ROUNDS, step: int = STEP, least_windows: int = LEAST_WINDOWS) -> Model:
-    """Fit the attention weights over all of learned (doc_id, text): tasks train on their own windows, their weights are averaged."""
+def trained(model: Model, learned: DataFrame, rounds: int = ROUNDS, least_windows: int = LEAST_WINDOWS) -> Model:
+    """Fit the attention weights over all of learned (doc_id, text): every position of every text is a target.
+
+    Tasks train on their own windows and their weights are averaged, in rounds.  A large corpus is dealt
+    over the rounds, so that each text is looked at once; a small one is gone through in each round, and
+    again until that is least_windows or four times.
+    """
     spark = learned.sparkSession
     model.begin()
     if not rounds:
         return model
     chars = learned.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    step = int(min(step, max(64, chars // least_windows)))
+    windows = max(1, chars // WINDOW_CHARS)
+    texts = learned.select("text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(rounds)).alias("turn")).filter("text is not null")
+    parts = rounds if windows >= rounds * least_windows else 1
+    passes = min(4, -(-least_windows // windows))
     shared = spark.sparkContext.broadcast(model)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = shared.value.windows(zip(*(batch[c].to_pylist() for c in ("piece", "begins", "ends")), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in w], pa.binary())], ["window"])
-
-    windows = cut(pieces(learned, step).mapInArrow(encode, "window binary"), "windows")
+    name = uuid.uuid4().hex
     part = 4096
     for turn in range(rounds):
         weights = spark.sparkContext.broadcast(model.packed())
 
         def local(batches: Iterator[pa.RecordBatch], weights=weights, turn=turn) -> Iterator[pa.RecordBatch]:
-            own, total, n = shared.value, None, 0
-            waiting: list[bytes] = []
+            memo = kept(name, lambda: Memo(shared.value, {}))
+            own, total, n = memo.model, None, 0
+            waiting: list[np.ndarray] = []
 
             def learn() -> None:
                 nonlocal total, n
-                own.train(np.frombuffer(b"".join(waiting), np.int16).reshape(-1, 3, WINDOW), seed=turn)
-                n += len(waiting)
+                known = np.concatenate(waiting)
+                own.train(known, batch=int(np.clip(len(known) * passes // STEPS, BATCH, 8 * BATCH)), seed=turn, passes=passes)
+                n += len(known)
                 total = own.packed()
                 waiting.clear()
 
             own.begin()
             own.unpack(weights.value)
             for batch in batches:
-                waiting += batch["window"].to_pylist()
-                if len(waiting) >= 100_000:
-                    learn()
+                for _, words, held in word_runs(batch["text"], 200_000):
+                    place = memo.places(words)
+                    owner = np.repeat(np.arange(len(held)), held)
+                    lengths = np.bincount(owner, weights=memo.sizes[place], minlength=len(held)).astype(np.int64)
+                    waiting.append(own.every_window(memo.codes(place), lengths))
+                    if sum(map(len, waiting)) >= 100_000:
+                        learn()
             if waiting:
                 learn()
             if n:
@@ -421,7 +455,8 @@ def trained(model: Model, learned: DataFrame, rounds: int = ROUNDS, step: int =
                 yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([v.tobytes() for _, v in sums.values()])], ["part", "n", "values"])
 
         schema = "part int, n long, values binary"
-        means = windows.mapInArrow(local, schema).repartition("part").mapInArrow(summed, schema).toArrow().sort_by("part")  # the weights, once
+        now = texts.filter(F.col("turn") == turn) if parts > 1 else texts
+        means = now.select("text").mapInArrow(local, schema).repartition("part").mapInArrow(summed, schema).toArrow().sort_by("part")  # the weights, once
         if means.num_rows:
             model.unpack(np.concatenate([np.frombuffer(v, np.float64) / n for v, n in zip(means["values"].to_pylist(), means["n"].to_pylist(), strict=True)]))
         weights.destroy()
