@@ -87,7 +87,9 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = r.select(F.col("src").alias("node"), "order_id").union(r.select("dst", "order_id"))
     first = ends.groupBy("node").agg((F.min("order_id") * 15.0).alias("t"))
     at = lambda c: first.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}"))
-    return spread(spread(p, n, "src").join(at("src"), "src"), n, "dst").join(at("dst"), "dst").select("src", "dst", "graph", "n_fwd", "n_rev", "t_src", "t_dst")
+    # both sides are dealt alike: a side that was not would have the other dealt again, into as few tasks as it has itself
+    met = lambda d, c: spread(d, n, c).join(spread(at(c), n, c), c)
+    return met(met(p, "src"), "dst").select("src", "dst", "graph", "n_fwd", "n_rev", "t_src", "t_dst")
 
 
 def prereq_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
