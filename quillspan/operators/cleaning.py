@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import fixed
 from quillspan.functions import text as X
 from quillspan.operators.numbering import numbered
+from quillspan.sources.scratch import written
 
 MOST_WORDS, MOST_CHARACTERS = 6, 45
 
@@ -57,7 +58,8 @@ def cleaned(entities: DataFrame, relations: DataFrame, within: list[str], order:
     ids = kept.select(*within, "entity_id").distinct()
     ends = lambda d, c: d.join(ids.withColumnRenamed("entity_id", c), [*within, c], "left_semi")
     left = ends(ends(relations.filter(~F.col("tier").isin(tiers)), "src"), "dst")
-    rows = numbered(left.select(*relations.columns), within, order, "_nth")
+    # ranges are found by a look at all rows, so what leads to them is done before
+    rows = numbered(written(left.select(*relations.columns), "left"), within, order, "_nth")
     return kept, rows.select("*", F.format_string("rel_%06d", "_nth").alias("relation_id")).drop("_nth")
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.operators.containment import contained, sentences
+from quillspan.operators.containment import contained, first_places, sentences
+from quillspan.sources.scratch import written
 
 
 def with_frame_times(records: DataFrame, frames: DataFrame) -> DataFrame:
@@ -60,8 +61,12 @@ def united(datasets: dict[str, DataFrame]) -> DataFrame:
 def naming_sentences(names: DataFrame, texts: DataFrame, within: list[str], least: int = 20, most: int = 400, words: bool = False) -> DataFrame:
     """within, name, text_id, nth, sentence: the first sentence of `least` to `most` characters that names each concept (within, name), in any case.  `words`: no name has a blank inside."""
     s = sentences(texts, within).withColumn("text", F.trim("text")).filter(F.length("text").between(least, most))
-    places = s.select(*within, F.struct("text_id", "nth").alias("text_id"), F.lower("text").alias("text"))
-    low = names.select(*within, "name", F.lower(F.trim("name")).alias("_low"))
-    found = contained(places, low.select(*within, F.col("_low").alias("name")), within, words).groupBy(*within, F.col("name").alias("_low")).agg(F.min("text_id").alias("_at"))
-    found = low.join(found, [*within, "_low"]).select(*within, "name", F.col("_at.text_id").alias("text_id"), F.col("_at.nth").alias("nth"))
+    places = s.select(*within, F.struct("text_id", "nth").alias("place"), F.lower("text").alias("text"))
+    low = written(names.select(*within, "name", F.lower(F.trim("name")).alias("_low")), "named")
+    one = low.select(*within, F.col("_low").alias("name"))
+    found = first_places(places, one if words else one.filter(~F.col("name").rlike("\\s")), within)
+    if not words:
+        more = contained(places.withColumnRenamed("place", "text_id"), one.filter(F.col("name").rlike("\\s")), within)
+        found = found.union(more.groupBy(*within, "name").agg(F.min("text_id")))
+    found = low.join(found.withColumnRenamed("name", "_low"), [*within, "_low"]).select(*within, "name", F.col("place.text_id").alias("text_id"), F.col("place.nth").alias("nth"))
     return found.join(s.withColumnRenamed("text", "sentence"), [*within, "text_id", "nth"])

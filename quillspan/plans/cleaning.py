@@ -12,16 +12,15 @@ from quillspan.operators import datasets as D
 from quillspan.operators import titles as T
 from quillspan.plans import audits
 from quillspan.plans import mapping as m
+from quillspan.sources.scratch import written
 
 
 def _package(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of lectures: a text's longest word is related to its second longest; every fifth text's, to the text's beginning."""
     c = m.passages(spark, sf_dir).filter("lecture_id is not null and text is not null")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
-    longest = F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     start = F.regexp_extract("text", "^\\s*((?:\\S+\\s+){0,7}\\S+)", 1)
-    other = F.when(F.col("chunk_id") % 5 == 0, start).otherwise(F.get(longest, F.lit(1))["w"])
-    r = c.select("lecture_id", F.get(longest, F.lit(0))["w"].alias("src"), other.alias("dst")).filter("src is not null and dst <> ''").distinct()
+    c = audits.two_longest(c).select("lecture_id", F.col("first").alias("src"), F.when(F.col("chunk_id") % 5 == 0, start).otherwise(F.col("second")).alias("dst"))
+    r = written(c.filter("src is not null and dst <> ''").distinct(), "package")
     names = r.select("lecture_id", F.col("src").alias("entity_id")).union(r.select("lecture_id", "dst")).distinct()
     return names.withColumn("name", F.col("entity_id")), r
 
