@@ -92,6 +92,16 @@ _FRAGMENT = f"(trim(n) = '' or (regexp_matches(n, '[.!?]\\s|\\.$') and not ({' o
 _LONG = "(len(list_filter(regexp_split_to_array(trim(n), '\\s+'), lambda w: w <> '')) > 6 or length(trim(n)) > 45)"
 _ISSUES = {"FRAGMENT": f"({_CLAUSE})", "EXCESSIVE_LENGTH": f"not ({_CLAUSE}) and {_LONG}", "GENERIC_STOPWORD": f"norm in ({', '.join(repr(w) for w in fixed.GENERIC_NAMES)})", "ORPHAN": "not related", "DUPLICATE": "same > 1"}
 
+#: What letters, digits and their marks are to the query; RE2 ends words at any that is not ASCII.
+_WORD = "\\p{L}\\p{Mn}\\p{Nd}_"
+
+
+def _as_query(sql: str) -> str:
+    """Patterns with the query's word ends and blanks (which a vertical tab is) in place of RE2's."""
+    ends = sql.replace("\\b(", f"(^|[^{_WORD}])(").replace(")\\b", f")([^{_WORD}]|$)")
+    return ends.replace("\\s", "[\\s\\x0B]").replace("\\S", "[^\\s\\x0B]")
+
+
 QUERIES = {f.__name__: f for f in (entity_issues, package_cleaned, relations_remapped, extraction_counts, title_cascade)}
 ORACLES = {
     "entity_issues": f"""with p as (select p_brand as lecture_id, p_partkey as entity_id, case when p_partkey % 50 = 0 then 'So that ' || p_name when p_partkey % 51 = 0 then 'Overview' else p_name end as n from part),
@@ -99,14 +109,14 @@ r as (select src, dst from {m.RELATIONS_SQL} x join p a on a.entity_id = src joi
 ends as (select src as id from r union select dst from r), q as (select *, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(n)), '[-_]+', ' ', 'g'), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')) as norm, entity_id in (select id from ends) as related from p),
 e as (select *, count(*) over (partition by lecture_id, norm) as same from q)
 {' union all '.join(f"select lecture_id, entity_id, '{k}' as issue from e where {v}" for k, v in _ISSUES.items())}""",
-    "package_cleaned": f"""with l as (select source as lecture_id, doc_id, text, list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')), lambda x: {{'n': -length(x), 'w': x}})) as l from documents where source is not null and text is not null),
+    "package_cleaned": _as_query(f"""with l as (select source as lecture_id, doc_id, text, list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')), lambda x: {{'n': -length(x), 'w': x}})) as l from documents where source is not null and text is not null),
 tr as materialized (select distinct lecture_id, src as source, dst as target from (select lecture_id, l[1].w as src, case when doc_id % 5 = 0 then regexp_extract(text, '^\\s*((?:\\S+\\s+){{0,7}}\\S+)', 1) else l[2].w end as dst from l) where src is not null and dst <> ''),
 s as materialized (select lecture_id, doc_id, lower(text) as text, regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as ss from l),
 j as (select tr.*, list_filter(ss, lambda q: contains(lower(q), lower(trim(tr.source))) and contains(lower(q), lower(trim(target))))[1] as f, doc_id
       from tr join s on s.lecture_id = tr.lecture_id and contains(text, lower(trim(tr.source))) and contains(text, lower(trim(target)))),
 b as (select lecture_id, source, target, max(case when f is null then 1 when regexp_matches(f, '{audits.PROSE_INDICATORS}') then 3 else 2 end) as tier from j group by all),
-ok as (select *, (select not (({_CLAUSE}) or {_LONG} or {_FRAGMENT}) from (select target as n)) as fine from b where tier >= 2)
-select lecture_id, printf('rel_%06d', row_number() over (partition by lecture_id order by source, target)) as relation_id, source as src, target as dst, tier from ok where fine""",
+ok as (select *, {' and '.join(f"(select not (({_CLAUSE}) or {_LONG} or {_FRAGMENT}) from (select {end} as n))" for end in ('source', 'target'))} as fine from b where tier >= 2)
+select lecture_id, printf('rel_%06d', row_number() over (partition by lecture_id order by source, target)) as relation_id, source as src, target as dst, tier from ok where fine"""),
     "relations_remapped": """with li as (select l_orderkey as window_id, l_partkey::varchar as entity_id, row_number() over w as nth, lead(l_partkey::varchar) over w as nx from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey))
 select window_id, nth, entity_id as src, nx as dst from li where nx is not null and not (window_id % 3 = 2 and nth = 1)""",
     "extraction_counts": """with e as (select event_type as stage, event_id % 4 as k, user_id % 4 as u, row_number() over (partition by event_type, user_id order by event_id) > 1 as dup, value from events),
