@@ -158,9 +158,10 @@ def matched_prerequisites(predicted: DataFrame, gold: DataFrame, aliases: DataFr
         some = p.select("s", "t").distinct().join(near.select(F.col("p").alias("s"), F.col("g").alias("gs")), "s").join(near.select(F.col("p").alias("t"), F.col("g").alias("gt")), "t").join(g, ["gs", "gt"])
         found = found.union(some.select("s", "t", "target", F.lit(1).alias("stage")))
     found = found.groupBy("s", "t", "target").agg(F.min("stage").alias("stage"))
-    candidates = p.join(found, ["s", "t"]).select("item", "s", "t", "target", "turn", F.struct("stage", F.col("target").alias("nth")).alias("choice"))
+    # files of predictions are small for their rows, which a broadcast would hold whole
+    candidates = p.hint("merge").join(found, ["s", "t"]).select("item", "s", "t", "target", "turn", F.struct("stage", F.col("target").alias("nth")).alias("choice"))
     got = claimed(_without_spares(candidates, ["s", "t"]))
-    return predicted.select("item").join(got.select("item", F.col("target").alias("gold_item")), "item", "left")
+    return predicted.select("item").hint("merge").join(got.select("item", F.col("target").alias("gold_item")), "item", "left")
 
 
 def scores(matched: Column, predicted: Column, gold: Column) -> list[Column]:
