@@ -13,6 +13,11 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillspan.functions import fixed
 from quillspan.operators.graph import acyclic, confidence
+from quillspan.operators.spread import ROWS, spread
+from quillspan.sources.scratch import written
+
+#: Pairs in a chunk that one task looks for cues in.
+CUES = 20_000
 
 
 def cue_text(text: Column) -> Column:
@@ -127,8 +132,11 @@ def cue_scores(pairs: DataFrame, profile: DataFrame, chunks: DataFrame) -> DataF
     b = terms.withColumnsRenamed({"_e": "dst", "_p": "_b", "chunk_ids": "_y"})
     # a cue names both terms, so only chunks that mention both can have one
     p = pairs.select("lecture_id", "src", "dst").join(a, ["lecture_id", "src"]).join(b, ["lecture_id", "dst"])
-    p = p.select("lecture_id", "src", "dst", "_a", "_b", F.explode(F.array_intersect("_x", "_y")).alias("chunk_id"))
-    p = p.join(chunks.select("lecture_id", "chunk_id", "ts", cue_text(F.col("transcript")).alias("_t")), ["lecture_id", "chunk_id"])
+    p = written(p.select("lecture_id", "src", "dst", "_a", "_b", F.explode(F.array_intersect("_x", "_y")).alias("chunk_id")), "cue-pairs")
+    # rows are few bytes and much work: both sides are dealt to tasks by the number of pairs
+    n = p.count() * (ROWS // CUES)
+    said = chunks.select("lecture_id", "chunk_id", "ts", cue_text(F.col("transcript")).alias("_t"))
+    p = spread(p, n, "lecture_id", "chunk_id").join(spread(said, n, "lecture_id", "chunk_id").hint("merge"), ["lecture_id", "chunk_id"])
     p = p.withColumn("c", cue("_t", "_a", "_b")).filter("c.score > 0")
     best = p.groupBy("lecture_id", "src", "dst").agg(F.min(F.struct((-F.col("c.score")).alias("s"), "ts", "chunk_id", "c")).alias("m"))
     return best.select("lecture_id", "src", "dst", F.col("m.c.score").alias("discourse"), F.col("m.c.cue").alias("cue"), F.col("m.c.snippet").alias("snippet"))
@@ -172,7 +180,7 @@ def graph_evidence(forward: Column, reverse: Column) -> Column:
 
 def inferred(entities: DataFrame, chunks: DataFrame, segments: DataFrame, relations: DataFrame, least: float = 0.65) -> DataFrame:
     """lecture_id, src, dst, confidence, discourse, graph, cue: prerequisites of each lecture, confident enough and without cycles."""
-    p = profiles(entities, chunks, segments)
+    p = written(profiles(entities, chunks, segments), "profiles")  # used several times
     c = candidate_pairs(p, relations, chunks).filter("reason is null").withColumn("graph", graph_evidence(F.col("forward"), F.col("reverse")))
     c = c.withColumn("confidence", confidence(F.col("discourse"), F.col("graph"), F.col("in_headings_src"), F.col("in_first_segment_src"), F.col("t_src"), F.col("t_dst")))
     return acyclic(c.filter(F.col("confidence") >= least).select("lecture_id", "src", "dst", "confidence", "discourse", "graph", "cue"))
